@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def settled(col: Column) -> Column:
-    """The same value, but filters on it stay above the projection that computes it.
+    """The same value, but the optimizer leaves the projection that computes it in its place.
 
-    A filter pushed below a long chain of projections would carry the whole chain's expressions with it, multiplied by
-    every column that is read twice, and each row would pay the chain once for the filter and once for the projection.
-    The partition id marks the projection as one not to push through; it does not influence the value.
+    The operators are long chains of projections in which most columns are read more than once. A filter pushed below such
+    a chain, or a constraint inferred through it, carries the expressions of the whole chain, multiplied at every step.
+    The partition id marks a projection as one not to look through; it does not influence the value.
     """
     return F.when(F.spark_partition_id() >= 0, col)
+
+
+def add(df: DataFrame, columns: str | dict[str, Column], col: Column | None = None) -> DataFrame:
+    """Add or replace one or several columns as one settled step; all of them read the columns before the step."""
+    named = {columns: col} if isinstance(columns, str) else columns
+    return df.withColumns({name: settled(value) for name, value in named.items()})

@@ -11,6 +11,7 @@ from emberlog.functions.text import unicode_re
 from emberlog.sources.rules import Rule, rules_table
 
 UNKNOWN = "UNKNOWN"
+MAX_TABLE_RULES = 1_000
 
 
 def rule_priority(pattern: Column, rules: list[Rule]) -> Column:
@@ -27,34 +28,17 @@ def classify(groups: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.withColumn("classification", F.lit(UNKNOWN) if names is F else names.otherwise(UNKNOWN))
 
 
-def classify_by_table(groups: DataFrame, rules: DataFrame, max_rules: int = 10_000) -> DataFrame:
+def classify_by_table(groups: DataFrame, rules: DataFrame, max_rules: int = MAX_TABLE_RULES) -> DataFrame:
     """The same for rules that come as a table ``priority, pattern, classification``.
 
-    The table is broadcast, so its size is checked first. Matching is a theta join reduced to the first priority.
+    The table is read to the driver behind a check of its size and becomes the same CASE: each pattern is compiled once per
+    task, where a join on ``rlike`` would compile it again for every pair of group and rule.
     """
-    size = rules.limit(max_rules + 1).count()
-    if size > max_rules:
+    rows = rules.select("priority", "pattern", "classification").orderBy("priority").limit(max_rules + 1).collect()
+    if len(rows) > max_rules:
         raise ValueError(f"more than {max_rules} rules")
-    usable = rules.where("pattern <> ''").select("priority", "pattern", "classification")
-    usable = usable.select(
-        F.col("priority").alias("rule_priority"),
-        F.concat(F.lit(unicode_re("", "i")), "pattern").alias("__re"),
-        F.col("classification").alias("__class"),
-    )
-    keys = groups.select("scope", "pattern_key", "pattern")
-    hit = F.regexp_like(F.col("pattern"), F.col("__re"))
-    first = (
-        keys.join(F.broadcast(usable), hit, "inner")
-        .groupBy("scope", "pattern_key")
-        .agg(F.min(F.struct("rule_priority", "__class")).alias("__rule"))
-    )
-    return groups.join(first, ["scope", "pattern_key"], "left").select(
-        *groups.columns,
-        F.col("__rule.rule_priority").alias("rule_priority"),
-        F.when(F.col("__rule").isNull(), UNKNOWN)
-        .otherwise(F.coalesce(F.col("__rule.__class"), F.lit(UNKNOWN)))
-        .alias("classification"),
-    )
+    listed = [Rule(r["priority"], None, r["pattern"] or "", r["classification"] or UNKNOWN, "", [], []) for r in rows]
+    return classify(groups, listed)
 
 
 def insights(spark: SparkSession, classified: DataFrame, rules: list[Rule]) -> DataFrame:

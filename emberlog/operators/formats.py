@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import levels as L
 from emberlog.functions import text as S
-from emberlog.functions.plan import settled
+from emberlog.functions.plan import add, settled
 from emberlog.functions.text import MARK_CLOSE, MARK_OPEN, MARK_PAIR, unicode_re
 
 
@@ -152,7 +152,7 @@ def parse_records(records: DataFrame, source_type: str = "auto") -> DataFrame:
     if source_type not in SOURCE_TYPES:
         raise ValueError(f"source_type must be one of {', '.join(SOURCE_TYPES)}")
     keep = records.columns
-    df = records.withColumn("__text0", S.clean(F.col("raw")))
+    df = add(records, "__text0", S.clean(F.col("raw")))
     for depth in range(UNWRAP_DEPTH):
         df = _unwrap(df, depth, source_type)
     df = _detect_innermost(df, source_type)
@@ -173,13 +173,13 @@ def _with_json_object(df: DataFrame, name: str, line: Column, when: Column) -> D
     """Add ``name``: the line as a variant if it is exactly one JSON object, else NULL."""
     text = S.strip(line)
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    df = df.withColumn(f"{name}_list", F.when(when & text.startswith("{") & text.endswith("}"), listed))
+    df = add(df, f"{name}_list", F.when(when & text.startswith("{") & text.endswith("}"), listed))
     listed = F.col(f"{name}_list")
     # A stray bracket could close the list early; then the same text cannot close as an object member too.
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     whole = ~line.contains("]") | keyed.isNotNull()
     alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return df.withColumn(name, F.when(listed.isNotNull() & alone & whole, F.try_variant_get(listed, "$[0]", "variant")))
+    return add(df, name, F.when(listed.isNotNull() & alone & whole, F.try_variant_get(listed, "$[0]", "variant")))
 
 
 def _has(payload: Column, key: str) -> Column:
@@ -198,23 +198,23 @@ def _unwrap(df: DataFrame, depth: int, source_type: str) -> DataFrame:
     """Detect a container at this depth; the next depth is its inner text, or the same text."""
     text, line, json, box, cri = (F.col(f"__{c}{depth}") for c in ("text", "line", "json", "box", "cri"))
     inside = F.lit(True) if depth == 0 else F.col(f"__box{depth - 1}").isNotNull()
-    df = df.withColumn(f"__line{depth}", S.first_line(text))
+    df = add(df, f"__line{depth}", S.first_line(text))
     if depth == 0 and source_type not in ("auto", "json", "docker_json"):
-        df = df.withColumn("__json0", F.lit(None).cast("variant"))
+        df = add(df, "__json0", F.lit(None).cast("variant"))
     else:
         df = _with_json_object(df, f"__json{depth}", line, inside)
     docker = _has(json, "log") & (_has(json, "stream") | _has(json, "time"))
     is_cri = F.lit(False)
     if depth > 0 or source_type in ("auto", "cri"):
         is_cri = inside & json.isNull() & _starts_with_digit(line) & line.rlike(unicode_re(CRI))
-    df = df.withColumn(f"__box{depth}", F.when(docker, "docker_json").when(is_cri, "cri"))
+    df = add(df, f"__box{depth}", F.when(docker, "docker_json").when(is_cri, "cri"))
     groups = F.split(_layout_hit(line, CRI, "", ("$1", "$2", "$3", "$4")), MARK_OPEN, -1)
-    df = df.withColumn(f"__cri{depth}", F.when(box == "cri", groups))
+    df = add(df, f"__cri{depth}", F.when(box == "cri", groups))
     log = F.rtrim(F.coalesce(_text_at(json, "log"), F.lit("")), F.lit("\n"))
     inner = F.when(box == "docker_json", log).when(box == "cri", cri[3])
-    df = df.withColumn(f"__inner{depth}", inner)
+    df = add(df, f"__inner{depth}", inner)
     inner = F.col(f"__inner{depth}")
-    return df.withColumn(f"__text{depth + 1}", F.when(box.isNotNull(), S.clean(inner)).otherwise(text))
+    return add(df, f"__text{depth + 1}", F.when(box.isNotNull(), S.clean(inner)).otherwise(text))
 
 
 def _wrap(df: DataFrame, depth: int) -> DataFrame:
@@ -227,8 +227,7 @@ def _wrap(df: DataFrame, depth: int) -> DataFrame:
     # The level of a plain text is the one inferred from it, so it can be taken over as it is.
     raised = (plain_inside | (box == "cri")) & (F.col("__level") == "INFO") & (stream == "stderr")
     names = F.array(*[F.lit(n) for n in ("timestamp", "stream", "flag", "message")])
-    return df.withColumns(
-        {
+    return add(df, {
             "__level": F.when(raised, "ERROR").otherwise(F.col("__level")),
             "__service": F.when(~F.coalesce(plain_inside, F.lit(False)), F.col("__service")),
             "__message": F.when(plain_inside, F.when(inner != "", inner).otherwise(text))
@@ -268,11 +267,11 @@ def _shape_chain(line: Column, names: tuple[str, ...] | None = None) -> Column:
 def _detect_innermost(df: DataFrame, source_type: str) -> DataFrame:
     """Add ``__json``, or ``__hit`` (the laid-out parts of a line shape), or ``__kv``; none of them means plain."""
     depth = UNWRAP_DEPTH
-    df = df.withColumn("__line", S.first_line(F.col(f"__text{depth}")))
+    df = add(df, "__line", S.first_line(F.col(f"__text{depth}")))
     line = F.col("__line")
     df = _with_json_object(df, "__deepest", line, F.col(f"__box{depth - 1}").isNotNull())
     known = [F.when(F.col(f"__box{d}").isNull(), F.col(f"__json{d}")) for d in range(depth)]
-    df = df.withColumns({"__json": F.coalesce(*known, F.col("__deepest")), "__digit": _starts_with_digit(line)})
+    df = add(df, {"__json": F.coalesce(*known, F.col("__deepest")), "__digit": _starts_with_digit(line)})
     json, hit = F.col("__json"), F.col("__hit")
 
     shapes, pairs_allowed = _shape_chain(line), F.lit(True)
@@ -282,11 +281,11 @@ def _detect_innermost(df: DataFrame, source_type: str) -> DataFrame:
         may_wrap = source_type in ("json", "docker_json", "cri")
         shapes = F.when(wrapped, shapes).otherwise(forced) if may_wrap else forced
         pairs_allowed = wrapped if may_wrap else F.lit(source_type == "logfmt")
-    df = df.withColumn("__hit", F.split(F.when(json.isNull(), shapes), MARK_OPEN, -1))
+    df = add(df, "__hit", F.split(F.when(json.isNull(), shapes), MARK_OPEN, -1))
     pairs = F.when(json.isNull() & hit.isNull() & pairs_allowed & line.contains("="), S.key_value_pairs(line))
-    df = df.withColumn("__pairs", pairs)
-    df = df.withColumn("__kv", F.when(F.size("__pairs") >= 2, S.last_wins_map(F.col("__pairs"))))
-    return df.withColumn("__kv", F.when(F.size("__kv") >= 2, F.col("__kv")))
+    df = add(df, "__pairs", pairs)
+    df = add(df, "__kv", F.when(F.size("__pairs") >= 2, S.last_wins_map(F.col("__pairs"))))
+    return add(df, "__kv", F.when(F.size("__kv") >= 2, F.col("__kv")))
 
 
 def _read_innermost(df: DataFrame) -> DataFrame:
@@ -305,8 +304,7 @@ def _read_innermost(df: DataFrame) -> DataFrame:
         .when(shape == "redis", redis)
         .when(shape != "web_access", hit[2])
     )
-    df = df.withColumns(
-        {
+    df = add(df, {
             "__status": F.when(by_json, _json_text(json, JSON_STATUS))
             .when(shape == "web_access", hit[2])
             .when(by_kv, kv_first(KV_STATUS)),
@@ -317,8 +315,7 @@ def _read_innermost(df: DataFrame) -> DataFrame:
             "__stack": F.when(by_json, _json_text(json, JSON_STACK)),
         }
     )
-    df = df.withColumns(
-        {
+    df = add(df, {
             "__msg": _spaced_if_nested(json, F.col("__msg"), JSON_MESSAGE),
             "__stack": S.null_if_empty(_spaced_if_nested(json, F.col("__stack"), JSON_STACK)),
             "__word": F.coalesce(
@@ -347,8 +344,7 @@ def _read_innermost(df: DataFrame) -> DataFrame:
     groups = F.str_to_map(hit[5], F.lit(MARK_CLOSE), F.lit(MARK_PAIR))
     # A group that took no part in the match is empty here; only a message may be empty by itself.
     groups = F.transform_values(groups, lambda k, v: F.when((v != "") | (k == "message"), v))
-    return df.withColumns(
-        {
+    return add(df, {
             "__level": F.coalesce(L.level_from_status(status), L.normalize_level(F.col("__word"))),
             "__service": F.when(by_json, _json_text(json, JSON_SERVICE))
             .when(shape == "java", S.context_service(hit[3]))

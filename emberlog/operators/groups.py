@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.levels import severity_rank
 from emberlog.functions.patterns import is_error_event, normalize_message
-from emberlog.functions.plan import settled
+from emberlog.functions.plan import add
 from emberlog.functions.text import null_if_empty
 
 EXAMPLES_KEPT = 3
@@ -20,10 +20,10 @@ EXAMPLES_KEPT = 3
 
 def with_pattern(parsed: DataFrame) -> DataFrame:
     """Add ``is_error`` and ``pattern``; only error events pay the masking regexes, others have no pattern."""
-    marked = parsed.withColumn("is_error", F.coalesce(is_error_event(F.col("level"), F.col("message")), F.lit(False)))
-    marked = marked.withColumn("__normal", F.when(F.col("is_error"), normalize_message(F.col("message"))))
+    marked = add(parsed, "is_error", F.coalesce(is_error_event(F.col("level"), F.col("message")), F.lit(False)))
+    marked = add(marked, "__normal", F.when(F.col("is_error"), normalize_message(F.col("message"))))
     pattern = F.when(F.col("__normal") != "", F.col("__normal")).when(F.col("is_error"), F.col("message"))
-    return marked.withColumn("pattern", settled(pattern)).drop("__normal")
+    return add(marked, "pattern", pattern).drop("__normal")
 
 
 def error_events(parsed: DataFrame) -> DataFrame:

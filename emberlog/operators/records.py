@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberlog.functions.plan import settled
 from emberlog.functions.text import LINE_END, WS_CLASS, rstrip, unicode_re
 
 # What a continuation line starts with, apart from a blank or a tab.
@@ -69,7 +70,7 @@ def records_from_rows(df: DataFrame, record: str, scope: str | Column, order: st
     scope = F.col(scope) if isinstance(scope, str) else scope
     order = F.col(order) if isinstance(order, str) else order
     raw = dense_text(F.col(record))
-    out = df.select(scope.cast("string").alias("scope"), order.alias("pos"), raw.alias("raw")).where("raw <> ''")
+    out = df.select(scope.cast("string").alias("scope"), order.alias("pos"), settled(raw).alias("raw")).where("raw <> ''")
     return out.withColumn("n_lines", line_count(F.col("raw")))
 
 

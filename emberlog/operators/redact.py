@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.plan import settled
+from emberlog.functions.plan import add, settled
 from emberlog.functions.secrets import TEXT_RULES, passes_luhn, placeholder, rule_regex
 from emberlog.functions.text import MARK_CLOSE, MARK_OPEN, MARK_SEP
 from emberlog.operators.segments import reassembled, searchable, with_segments
@@ -37,27 +37,26 @@ def redact(lines: DataFrame, mode: str, correlate: bool, salt: str = "") -> Data
         ),
         lambda h: h["category"].isNotNull(),
     )
-    df = df.withColumns({"__text": searchable(segments), "__hits": F.when(F.col("kind") == "text", F.array().cast(HIT)).otherwise(named.cast(HIT))})
+    df = add(df, {"__text": searchable(segments), "__hits": F.when(F.col("kind") == "text", F.array().cast(HIT)).otherwise(named.cast(HIT))})
     for number, rule in enumerate(TEXT_RULES, 1):
         marked = F.regexp_replace("__text", rule_regex(rule), f"$1{MARK_OPEN}$2{MARK_CLOSE}$3")
-        df = df.withColumn("__marked", marked)
+        df = add(df, "__marked", marked)
         pieces = F.split("__marked", f"[{MARK_OPEN}{MARK_CLOSE}]", -1)
         hit = F.col("__marked").contains(MARK_OPEN)
-        df = df.withColumns(
-            {
+        df = add(df, {
                 "__text": F.when(hit, F.array_join(F.transform(pieces, _replace(rule, mode, correlate, salt)), ""))
                 .otherwise(F.col("__marked")),
                 "__hits": F.when(hit, F.concat("__hits", _hits(pieces, rule, number))).otherwise(F.col("__hits")),
             }
         )
-    df = df.withColumn("__results", F.split("__text", MARK_SEP, -1))
+    df = add(df, "__results", F.split("__text", MARK_SEP, -1))
     results = F.transform(
         segments,
         lambda s, i: F.when(s["cat"].isNull(), F.col("__results")[i]).otherwise(
             placeholder(s["cat"], s["txt"], mode, correlate, salt)
         ),
     )
-    df = df.withColumn("__results", F.when(F.col("kind") == "text", F.col("__results")).otherwise(results))
+    df = add(df, "__results", F.when(F.col("kind") == "text", F.col("__results")).otherwise(results))
     whole = reassembled(F.col("kind"), segments, F.col("__results"))
     whole = F.when(F.col("kind") == "blank", F.col("__line")).otherwise(whole)
     return df.select(*keep, settled(F.col("kind")).alias("kind"), settled(whole).alias("redacted"), settled(F.col("__hits")).alias("hits"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import text as S
+from emberlog.functions.plan import add
 from emberlog.functions.secrets import category_for_key
 from emberlog.functions.text import KEY_VALUE, MARK_SEP, MARKS, WS_CLASS, unicode_re
 
@@ -25,10 +26,9 @@ def with_segments(lines: DataFrame) -> DataFrame:
     line = F.col("__line")
     marks = f"[{MARKS}]"
     cleaned = F.when(F.col("line").rlike(marks), F.translate("line", MARKS, "\ufffd" * len(MARKS))).otherwise(F.col("line"))
-    df = lines.withColumn("__line", cleaned)
+    df = add(lines, "__line", cleaned)
     text = F.trim(line, F.lit(" \t\r\n"))
-    df = df.withColumn(
-        "__list", F.when(text.rlike("(?s)" + JSON_LIKE), F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
+    df = add(df, "__list", F.when(text.rlike("(?s)" + JSON_LIKE), F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
     )
     alone = F.try_variant_get("__list", "$[1]", "variant").isNull()
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}"))).isNotNull()
@@ -36,20 +36,19 @@ def with_segments(lines: DataFrame) -> DataFrame:
     pair = unicode_re(KEY_VALUE)
     rest = F.regexp_replace(line, pair, "")
     is_pairs = line.contains("=") & (F.regexp_count(line, F.lit(pair)) >= 2) & ~rest.rlike(unicode_re(r"[^\s\x1c-\x1f]"))
-    df = df.withColumn(
-        "kind",
+    df = add(df, "kind",
         F.when(S.strip(line) == "", "blank").when(is_json, "json").when(is_pairs, "logfmt").otherwise("text"),
     )
     kind = F.col("kind")
-    df = df.withColumn("__tokens", F.when(kind == "json", F.regexp_extract_all(line, F.lit(JSON_TOKEN), F.lit(0))))
-    df = df.withColumn("__keys", F.when(kind == "json", _token_keys(line, F.col("__tokens"))))
+    df = add(df, "__tokens", F.when(kind == "json", F.regexp_extract_all(line, F.lit(JSON_TOKEN), F.lit(0))))
+    df = add(df, "__keys", F.when(kind == "json", _token_keys(line, F.col("__tokens"))))
     segments = (
         F.when(kind == "json", _json_segments(F.col("__tokens"), F.col("__keys")))
         .when(kind == "logfmt", _pair_segments(line, pair))
         .when(kind == "text", F.array(_segment(F.lit(""), line)))
         .otherwise(F.array(_segment(line)))
     )
-    return df.withColumn("__segments", segments.cast(SEGMENT)).drop("__list", "__tokens", "__keys")
+    return add(df, "__segments", segments.cast(SEGMENT)).drop("__list", "__tokens", "__keys")
 
 
 def searchable(segments: Column) -> Column:
