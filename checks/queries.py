@@ -21,7 +21,7 @@ from emberlog.plans.analyze import analyze
 from emberlog.plans.sanitize import sanitize
 from emberlog.session import configure
 from emberlog.sources.rules import load_rules, rules_table
-from emberlog.sources.text import row_lines, table_lines
+from emberlog.sources.text import row_lines, spread, table_lines
 
 
 
@@ -44,7 +44,7 @@ def query(name: str, sql: str):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _records(spark: SparkSession, sf_dir: str, shape: str | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.sources.text import spread
+
 # SQL that Spark and DuckDB both understand.
 DAY = "substr(CAST(ts AS STRING), 1, 10)"
 CLOCK = "substr(CAST(ts AS STRING), 12, 8)"
@@ -107,7 +109,7 @@ def shape_line(shape: str) -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def mixed_line() -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberlog.functions.text import WS_CLASS, strip, unicode_re
+from emberlog.functions.plan import Steps, add
+from emberlog.functions.text import WS_CLASS, folded, occurrences, strip, unicode_re
 
 # Fixed values, applied in this order: (pattern, flags, replacement).
 MASKS = (
@@ -53,12 +56,51 @@ ERROR_WORD = (
 )
 
 
+# Runs of neighbouring masks that share a cheap test, as (first, last, test of the folded text). A test only says where
+# the masks cannot fire: what they look for must be in the message itself, the tokens of earlier masks never supply it.
+def _tests(low: Column, digit: Column) -> tuple[tuple[int, int, Column | None], ...]:
+    named = ("req-", "txn-", "tx-", "session-", "client-", "order-", "bet-")
+    any_named = reduce(lambda a, b: a | b, [low.contains(n) for n in named])
+    return (
+        (1, 1, low.contains("://")),
+        (2, 2, occurrences(low, "-") >= 4),
+        (3, 7, low.contains("id:") | low.contains("id=")),
+        (8, 8, any_named),
+        (9, 12, digit),
+        (13, 14, occurrences(low, ".") >= 3),
+        (15, 15, low.contains(".")),
+        (16, 18, digit),
+        (19, 19, None),
+        (20, 21, low.contains("id:") | low.contains("id=")),
+        (22, 22, digit),
+        (23, 25, low.contains("\n") | low.startswith('file "') | low.startswith("...")),
+    )
+
+
+def _masked(col: Column, first: int, last: int) -> Column:
+    for pattern, flags, replacement in MASKS[first - 1 : last]:
+        col = F.regexp_replace(col, unicode_re(pattern, flags), replacement)
+    return col
+
+
+def _squeezed(col: Column) -> Column:
+    return strip(F.regexp_replace(col, unicode_re(WS_CLASS + "+"), " "))
+
+
 def normalize_message(col: Column) -> Column:
-    """The message with ids, times, addresses, numbers and stack frames replaced by tokens."""
-    out = strip(col)
-    for pattern, flags, replacement in MASKS:
-        out = F.regexp_replace(out, unicode_re(pattern, flags), replacement)
-    return strip(F.regexp_replace(out, unicode_re(WS_CLASS + "+"), " "))
+    """The message with ids, times, addresses, numbers and stack frames replaced by tokens, as one expression."""
+    return _squeezed(_masked(strip(col), 1, len(MASKS)))
+
+
+def write_normalized(steps: Steps, name: str, message: Column) -> None:
+    """Write the steps that add the normalised message; cheap tests skip masks, which is much faster on large inputs."""
+    col, low, digit = F.col(name), F.col("__low"), F.col("__has_digit")
+    add(steps, name, strip(message))
+    add(steps, {"__low": folded(col), "__has_digit": col.rlike(unicode_re(r"\d"))})
+    for first, last, test in _tests(low, digit):
+        masked = _masked(col, first, last)
+        add(steps, name, masked if test is None else F.when(test, masked).otherwise(col))
+    add(steps, name, _squeezed(col))
 
 
 def is_error_event(level: Column, message: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,33 @@ def settled(col: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, col)
 
 
-def add(df: DataFrame, columns: str | dict[str, Column], col: Column | None = None) -> DataFrame:
+class Steps(list):
+    """Steps written down to be replayed on any frame."""
+
+
+def add(target: DataFrame | Steps, columns: str | dict[str, Column], col: Column | None = None) -> DataFrame | Steps:
     """Add or replace one or several columns as one settled step; all of them read the columns before the step."""
     named = {columns: col} if isinstance(columns, str) else columns
-    return df.withColumns({name: settled(value) for name, value in named.items()})
+    named = {name: settled(value) for name, value in named.items()}
+    if isinstance(target, Steps):
+        target.append(named)
+        return target
+    return target.withColumns(named)
+
+
+_written: dict[tuple, Steps] = {}
+
+
+def replay(df: DataFrame, write: Callable[..., None], *args) -> DataFrame:
+    """Apply the steps that ``write(steps, *args)`` writes down.
+
+    Building a few thousand column expressions takes seconds of talk with the JVM, so they are kept for the session.
+    """
+    key = (id(df.sparkSession.sparkContext), write, args)
+    if key not in _written:
+        steps = Steps()
+        write(steps, *args)
+        _written[key] = steps
+    for step in _written[key]:
+        df = df.withColumns(step)
+    return df

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberlog.functions.text import MARK_SEP, unicode_re
+from emberlog.functions.text import MARK_SEP, occurrences, unicode_re
 
 # Field names and their category.
 KEY_HINTS = {
@@ -58,9 +59,13 @@ KEY_HINTS = {
 
 
 class TextRule(NamedTuple):
-    """A pattern in three groups: what stays before the value, the value, what stays after it."""
+    """A pattern in three groups: what stays before the value, the value, what stays after it.
+
+    ``needs`` are lower-case texts one of which every match holds: a cheap test before the regex.
+    """
 
     category: str
+    needs: tuple[str, ...]
     before: str
     value: str
     after: str = ""
@@ -73,28 +78,28 @@ _ID = r"[A-Za-z0-9._:-]+"
 _QUOTE = r"[\"']?"
 _IS = r"\s*[:=]\s*[\"']?"
 TEXT_RULES = (
-    TextRule("BEARER_TOKEN", r"\bBearer\s+", r"[A-Za-z0-9._~+/=-]+"),
-    TextRule("AUTH_HEADER", r"\bAuthorization:\s*(?:Basic|Token)\s+", r"[^\s]+"),
-    TextRule("COOKIE", r"\b(?:Cookie|Set-Cookie):\s*", r"[^\r\n]+"),
-    TextRule("PASSWORD", r"\b(?:password|passwd|pwd|secret|client_secret)" + _IS, r"[^\"'\s,;]+"),
+    TextRule("BEARER_TOKEN", ("bearer",), r"\bBearer\s+", r"[A-Za-z0-9._~+/=-]+"),
+    TextRule("AUTH_HEADER", ("authorization:",), r"\bAuthorization:\s*(?:Basic|Token)\s+", r"[^\s]+"),
+    TextRule("COOKIE", ("cookie:",), r"\b(?:Cookie|Set-Cookie):\s*", r"[^\r\n]+"),
+    TextRule("PASSWORD", ("passw", "pwd", "secret"), r"\b(?:password|passwd|pwd|secret|client_secret)" + _IS, r"[^\"'\s,;]+"),
     TextRule(
-        "API_KEY", r"\b(?:api[_-]?key|access[_-]?token|refresh[_-]?token|token)" + _IS, r"[^\"'\s,;]+"
+        "API_KEY", ("key", "token"), r"\b(?:api[_-]?key|access[_-]?token|refresh[_-]?token|token)" + _IS, r"[^\"'\s,;]+"
     ),
-    TextRule("JWT", "", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9._-]+\.[A-Za-z0-9._-]+\b", flags=""),
-    TextRule("EMAIL", "", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", flags=""),
-    TextRule("PHONE", r"\b(?:phone|mobile|msisdn)\s*[:=]\s*", r"\+?\d[\d()\-\s]{7,}\d"),
-    TextRule("AWS_ACCESS_KEY", "", r"\bAKIA[0-9A-Z]{16}\b", flags=""),
-    TextRule("REQUEST_ID", r"\b(?:request|req)[_-]?id" + _IS, _ID, _QUOTE),
-    TextRule("REQUEST_ID", "", r"\breq-[A-Za-z0-9._:-]+\b"),
-    TextRule("TRACE_ID", r"\btrace[_-]?id" + _IS, _ID, _QUOTE),
-    TextRule("SPAN_ID", r"\bspan[_-]?id" + _IS, _ID, _QUOTE),
-    TextRule("CORRELATION_ID", r"\bcorrelation[_-]?id" + _IS, _ID, _QUOTE),
-    TextRule("SESSION_ID", r"\bsession[_-]?id" + _IS, _ID, _QUOTE),
-    TextRule("USER_ID", r"\buser[_-]?id" + _IS, _ID, _QUOTE),
-    TextRule("CLIENT_ID", r"\bclient[_-]?id" + _IS, _ID, _QUOTE),
-    TextRule("IP_ADDRESS", "", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", flags=""),
-    TextRule("URL", "", r"\bhttps?://[^\s\"']+\b"),
-    TextRule("CREDIT_CARD", "", r"\b(?:\d[ -]?){13,19}\b", flags="", card=True),
+    TextRule("JWT", ("eyj",), "", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9._-]+\.[A-Za-z0-9._-]+\b", flags=""),
+    TextRule("EMAIL", ("@",), "", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", flags=""),
+    TextRule("PHONE", ("phone", "mobile", "msisdn"), r"\b(?:phone|mobile|msisdn)\s*[:=]\s*", r"\+?\d[\d()\-\s]{7,}\d"),
+    TextRule("AWS_ACCESS_KEY", ("akia",), "", r"\bAKIA[0-9A-Z]{16}\b", flags=""),
+    TextRule("REQUEST_ID", ("req",), r"\b(?:request|req)[_-]?id" + _IS, _ID, _QUOTE),
+    TextRule("REQUEST_ID", ("req-",), "", r"\breq-[A-Za-z0-9._:-]+\b"),
+    TextRule("TRACE_ID", ("trace",), r"\btrace[_-]?id" + _IS, _ID, _QUOTE),
+    TextRule("SPAN_ID", ("span",), r"\bspan[_-]?id" + _IS, _ID, _QUOTE),
+    TextRule("CORRELATION_ID", ("correlation",), r"\bcorrelation[_-]?id" + _IS, _ID, _QUOTE),
+    TextRule("SESSION_ID", ("session",), r"\bsession[_-]?id" + _IS, _ID, _QUOTE),
+    TextRule("USER_ID", ("user",), r"\buser[_-]?id" + _IS, _ID, _QUOTE),
+    TextRule("CLIENT_ID", ("client",), r"\bclient[_-]?id" + _IS, _ID, _QUOTE),
+    TextRule("IP_ADDRESS", (".",), "", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", flags=""),
+    TextRule("URL", ("://",), "", r"\bhttps?://[^\s\"']+\b"),
+    TextRule("CREDIT_CARD", (), "", r"\b(?:\d[ -]?){13,19}\b", flags="", card=True),
 )
 IPV4_ONLY = r"^(?:\d{1,3}\.){3}\d{1,3}$"
 WEB_ADDRESS = r"^https?://"
@@ -109,10 +114,23 @@ def rule_regex(rule: TextRule) -> str:
     return unicode_re(pattern, rule.flags)
 
 
-def category_for_key(key: Column, value: Column) -> Column:
-    """Category of a value by its field name; NULL for none."""
+def may_match(rule: TextRule, low: Column) -> Column:
+    """Whether a folded text may hold a match. Placeholders of earlier rules never add one, so the text before all rules will do."""
+    if rule.card:
+        return low.rlike(unicode_re(r"\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d[ -]?\d"))
+    if rule.category == "IP_ADDRESS":
+        return occurrences(low, ".") >= 3
+    return reduce(lambda a, b: a | b, [low.contains(n) for n in rule.needs])
+
+
+def key_hint(key: Column) -> Column:
+    """What a field name stands for; NULL for none."""
     hints = F.create_map(*[F.lit(x) for item in KEY_HINTS.items() for x in item])
-    hint = hints[F.replace(F.lower(key), F.lit("-"), F.lit("_"))]
+    return hints[F.replace(F.lower(key), F.lit("-"), F.lit("_"))]
+
+
+def hinted_category(hint: Column, value: Column) -> Column:
+    """Category of a value by the hint of its field name; addresses and host names depend on the value too."""
     return (
         F.when((hint == "URL") & ~value.rlike(unicode_re(WEB_ADDRESS, "i")), "HOSTNAME")
         .when((hint == "HOSTNAME") & value.rlike(unicode_re(IPV4_ONLY)), "IP_ADDRESS")

@@ -53,6 +53,16 @@ def clean(col: Column) -> Column:
     return F.when(unclean, F.translate(ends, MARKS, "\ufffd" * len(MARKS))).otherwise(col)
 
 
+def folded(col: Column) -> Column:
+    """Lower case for cheap ``contains`` tests before a case-blind regex; letters that fold to ASCII ones included."""
+    return F.lower(F.when(col.rlike("[\\u0130\\u0131\\u017f]"), F.translate(col, "\u0130\u0131\u017f", "iis")).otherwise(col))
+
+
+def occurrences(col: Column, text: str) -> Column:
+    """How often a one-character text occurs."""
+    return F.length(col) - F.length(F.replace(col, F.lit(text)))
+
+
 def split_lines(col: Column) -> Column:
     """Array of lines; the empty piece after a final line end is dropped."""
     pieces = F.split(col, LINE_END, -1)

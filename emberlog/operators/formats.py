@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import levels as L
 from emberlog.functions import text as S
-from emberlog.functions.plan import add, settled
+from emberlog.functions.plan import Steps, add, replay, settled
 from emberlog.functions.text import MARK_CLOSE, MARK_OPEN, MARK_PAIR, unicode_re
 
 
@@ -152,13 +152,7 @@ def parse_records(records: DataFrame, source_type: str = "auto") -> DataFrame:
     if source_type not in SOURCE_TYPES:
         raise ValueError(f"source_type must be one of {', '.join(SOURCE_TYPES)}")
     keep = records.columns
-    df = add(records, "__text0", S.clean(F.col("raw")))
-    for depth in range(UNWRAP_DEPTH):
-        df = _unwrap(df, depth, source_type)
-    df = _detect_innermost(df, source_type)
-    df = _read_innermost(df)
-    for depth in reversed(range(UNWRAP_DEPTH)):
-        df = _wrap(df, depth)
+    df = replay(records, _write_steps, source_type)
     return df.select(
         *keep,
         *[settled(F.col(f"__{c}")).alias(c) for c in PARSED],
@@ -166,10 +160,20 @@ def parse_records(records: DataFrame, source_type: str = "auto") -> DataFrame:
     )
 
 
+def _write_steps(steps: Steps, source_type: str) -> None:
+    add(steps, "__text0", S.clean(F.col("raw")))
+    for depth in range(UNWRAP_DEPTH):
+        _unwrap(steps, depth, source_type)
+    _detect_innermost(steps, source_type)
+    _read_innermost(steps)
+    for depth in reversed(range(UNWRAP_DEPTH)):
+        _wrap(steps, depth)
+
+
 # --- containers -------------------------------------------------------------------------------------------------
 
 
-def _with_json_object(df: DataFrame, name: str, line: Column, when: Column) -> DataFrame:
+def _with_json_object(df: Steps, name: str, line: Column, when: Column) -> Steps:
     """Add ``name``: the line as a variant if it is exactly one JSON object, else NULL."""
     text = S.strip(line)
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
@@ -194,7 +198,7 @@ def _starts_with_digit(line: Column) -> Column:
     return line.substr(1, 1).rlike(unicode_re(r"\d"))
 
 
-def _unwrap(df: DataFrame, depth: int, source_type: str) -> DataFrame:
+def _unwrap(df: Steps, depth: int, source_type: str) -> Steps:
     """Detect a container at this depth; the next depth is its inner text, or the same text."""
     text, line, json, box, cri = (F.col(f"__{c}{depth}") for c in ("text", "line", "json", "box", "cri"))
     inside = F.lit(True) if depth == 0 else F.col(f"__box{depth - 1}").isNotNull()
@@ -217,7 +221,7 @@ def _unwrap(df: DataFrame, depth: int, source_type: str) -> DataFrame:
     return add(df, f"__text{depth + 1}", F.when(box.isNotNull(), S.clean(inner)).otherwise(text))
 
 
-def _wrap(df: DataFrame, depth: int) -> DataFrame:
+def _wrap(df: Steps, depth: int) -> Steps:
     """Lay the container's own level, time and label over the parsed inner text."""
     text, line, json, box, cri = (F.col(f"__{c}{depth}") for c in ("text", "line", "json", "box", "cri"))
     inner = F.col(f"__text{depth + 1}")
@@ -264,7 +268,7 @@ def _shape_chain(line: Column, names: tuple[str, ...] | None = None) -> Column:
     return F.lit(None).cast("string") if chain is F else chain
 
 
-def _detect_innermost(df: DataFrame, source_type: str) -> DataFrame:
+def _detect_innermost(df: Steps, source_type: str) -> Steps:
     """Add ``__json``, or ``__hit`` (the laid-out parts of a line shape), or ``__kv``; none of them means plain."""
     depth = UNWRAP_DEPTH
     df = add(df, "__line", S.first_line(F.col(f"__text{depth}")))
@@ -288,7 +292,7 @@ def _detect_innermost(df: DataFrame, source_type: str) -> DataFrame:
     return add(df, "__kv", F.when(F.size("__kv") >= 2, F.col("__kv")))
 
 
-def _read_innermost(df: DataFrame) -> DataFrame:
+def _read_innermost(df: Steps) -> Steps:
     """Read level, service, time, message and fields of the innermost text."""
     text, line = F.col(f"__text{UNWRAP_DEPTH}"), F.col("__line")
     json, hit, kv = F.col("__json"), F.col("__hit"), F.col("__kv")

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.levels import severity_rank
-from emberlog.functions.patterns import is_error_event, normalize_message
-from emberlog.functions.plan import add
+from emberlog.functions.patterns import is_error_event, write_normalized
+from emberlog.functions.plan import Steps, add, replay
 from emberlog.functions.text import null_if_empty
 
 EXAMPLES_KEPT = 3
@@ -20,10 +20,14 @@ EXAMPLES_KEPT = 3
 
 def with_pattern(parsed: DataFrame) -> DataFrame:
     """Add ``is_error`` and ``pattern``; only error events pay the masking regexes, others have no pattern."""
-    marked = add(parsed, "is_error", F.coalesce(is_error_event(F.col("level"), F.col("message")), F.lit(False)))
-    marked = add(marked, "__normal", F.when(F.col("is_error"), normalize_message(F.col("message"))))
-    pattern = F.when(F.col("__normal") != "", F.col("__normal")).when(F.col("is_error"), F.col("message"))
-    return add(marked, "pattern", pattern).drop("__normal")
+    return replay(parsed, _write_pattern).drop("__normal", "__low", "__has_digit")
+
+
+def _write_pattern(steps: Steps) -> None:
+    add(steps, "is_error", F.coalesce(is_error_event(F.col("level"), F.col("message")), F.lit(False)))
+    write_normalized(steps, "__normal", F.when(F.col("is_error"), F.col("message")))
+    normal = F.col("__normal")
+    add(steps, "pattern", F.when(normal != "", normal).when(F.col("is_error"), F.col("message")))
 
 
 def error_events(parsed: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.plan import add, settled
-from emberlog.functions.secrets import TEXT_RULES, passes_luhn, placeholder, rule_regex
-from emberlog.functions.text import MARK_CLOSE, MARK_OPEN, MARK_SEP
-from emberlog.operators.segments import reassembled, searchable, with_segments
+from emberlog.functions.plan import Steps, add, replay, settled
+from emberlog.functions.secrets import TEXT_RULES, may_match, passes_luhn, placeholder, rule_regex
+from emberlog.functions.text import MARK_CLOSE, MARK_OPEN, MARK_SEP, folded
+from emberlog.operators.segments import reassembled, searchable, write_segments
 
 HIT = "array<struct<seg:int,rule:int,idx:int,category:string,original:string>>"
 HINTED = 0  # rule number of a value found by its field name; text rules count from 1
@@ -24,8 +24,13 @@ def redact(lines: DataFrame, mode: str, correlate: bool, salt: str = "") -> Data
 
     With ``correlate`` the placeholders hold identity keys, to be numbered by ``correlate.renumber``.
     """
-    keep = [c for c in lines.columns]
-    df = with_segments(lines)
+    keep = lines.columns
+    df = replay(lines, _write_steps, mode, correlate, salt)
+    return df.select(*keep, *[settled(F.col(name)).alias(name) for name in ("kind", "redacted", "hits")])
+
+
+def _write_steps(df: Steps, mode: str, correlate: bool, salt: str) -> None:
+    write_segments(df)
     segments = F.col("__segments")
     named = F.filter(
         F.transform(
@@ -37,29 +42,30 @@ def redact(lines: DataFrame, mode: str, correlate: bool, salt: str = "") -> Data
         ),
         lambda h: h["category"].isNotNull(),
     )
-    df = add(df, {"__text": searchable(segments), "__hits": F.when(F.col("kind") == "text", F.array().cast(HIT)).otherwise(named.cast(HIT))})
+    add(df, {"__text": searchable(segments), "__hits": F.when(F.col("kind") == "text", F.array().cast(HIT)).otherwise(named.cast(HIT))})
+    add(df, "__low", folded(F.col("__text")))
     for number, rule in enumerate(TEXT_RULES, 1):
         marked = F.regexp_replace("__text", rule_regex(rule), f"$1{MARK_OPEN}$2{MARK_CLOSE}$3")
-        df = add(df, "__marked", marked)
+        add(df, "__marked", F.when(may_match(rule, F.col("__low")), marked).otherwise(F.col("__text")))
         pieces = F.split("__marked", f"[{MARK_OPEN}{MARK_CLOSE}]", -1)
         hit = F.col("__marked").contains(MARK_OPEN)
-        df = add(df, {
+        add(df, {
                 "__text": F.when(hit, F.array_join(F.transform(pieces, _replace(rule, mode, correlate, salt)), ""))
                 .otherwise(F.col("__marked")),
                 "__hits": F.when(hit, F.concat("__hits", _hits(pieces, rule, number))).otherwise(F.col("__hits")),
             }
         )
-    df = add(df, "__results", F.split("__text", MARK_SEP, -1))
+    add(df, "__results", F.split("__text", MARK_SEP, -1))
     results = F.transform(
         segments,
         lambda s, i: F.when(s["cat"].isNull(), F.col("__results")[i]).otherwise(
             placeholder(s["cat"], s["txt"], mode, correlate, salt)
         ),
     )
-    df = add(df, "__results", F.when(F.col("kind") == "text", F.col("__results")).otherwise(results))
+    add(df, "__results", F.when(F.col("kind") == "text", F.col("__results")).otherwise(results))
     whole = reassembled(F.col("kind"), segments, F.col("__results"))
     whole = F.when(F.col("kind") == "blank", F.col("__line")).otherwise(whole)
-    return df.select(*keep, settled(F.col("kind")).alias("kind"), settled(whole).alias("redacted"), settled(F.col("__hits")).alias("hits"))
+    add(df, {"redacted": whole, "hits": F.col("__hits")})
 
 
 def _replace(rule, mode: str, correlate: bool, salt: str):

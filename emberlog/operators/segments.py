@@ -6,12 +6,12 @@ segment, where the result of a segment without ``txt`` is empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlog.functions import text as S
-from emberlog.functions.plan import add
-from emberlog.functions.secrets import category_for_key
+from emberlog.functions.plan import Steps, add
+from emberlog.functions.secrets import hinted_category, key_hint
 from emberlog.functions.text import KEY_VALUE, MARK_SEP, MARKS, WS_CLASS, unicode_re
 
 JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
@@ -21,14 +21,14 @@ JSON_LIKE = r'^(?:\{.*\}|\[.*\]|".*"|-?[0-9][0-9.eE+-]*|true|false|null)$'
 SEGMENT = "array<struct<pre:string,txt:string,cat:string,post:string>>"
 
 
-def with_segments(lines: DataFrame) -> DataFrame:
-    """Add ``kind`` (blank, json, logfmt, text) and ``__segments``."""
+def write_segments(steps: Steps) -> None:
+    """Write the steps that add ``kind`` (blank, json, logfmt, text) and ``__segments`` to lines."""
     line = F.col("__line")
     marks = f"[{MARKS}]"
     cleaned = F.when(F.col("line").rlike(marks), F.translate("line", MARKS, "\ufffd" * len(MARKS))).otherwise(F.col("line"))
-    df = add(lines, "__line", cleaned)
+    add(steps, "__line", cleaned)
     text = F.trim(line, F.lit(" \t\r\n"))
-    df = add(df, "__list", F.when(text.rlike("(?s)" + JSON_LIKE), F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
+    add(steps, "__list", F.when(text.rlike("(?s)" + JSON_LIKE), F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
     )
     alone = F.try_variant_get("__list", "$[1]", "variant").isNull()
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}"))).isNotNull()
@@ -36,19 +36,22 @@ def with_segments(lines: DataFrame) -> DataFrame:
     pair = unicode_re(KEY_VALUE)
     rest = F.regexp_replace(line, pair, "")
     is_pairs = line.contains("=") & (F.regexp_count(line, F.lit(pair)) >= 2) & ~rest.rlike(unicode_re(r"[^\s\x1c-\x1f]"))
-    df = add(df, "kind",
+    add(steps, "kind",
         F.when(S.strip(line) == "", "blank").when(is_json, "json").when(is_pairs, "logfmt").otherwise("text"),
     )
     kind = F.col("kind")
-    df = add(df, "__tokens", F.when(kind == "json", F.regexp_extract_all(line, F.lit(JSON_TOKEN), F.lit(0))))
-    df = add(df, "__keys", F.when(kind == "json", _token_keys(line, F.col("__tokens"))))
+    add(steps, "__tokens", F.when(kind == "json", F.regexp_extract_all(line, F.lit(JSON_TOKEN), F.lit(0))))
+    add(steps, "__keys", F.when(kind == "json", _token_keys(line, F.col("__tokens"))))
+    # Hints are looked up once per value here; later steps only read them.
+    hinted = F.when(kind == "json", _hinted_tokens(F.col("__tokens"), F.col("__keys")))
+    add(steps, "__hinted", hinted.otherwise(F.when(kind == "logfmt", _hinted_pairs(line, pair))))
     segments = (
-        F.when(kind == "json", _json_segments(F.col("__tokens"), F.col("__keys")))
-        .when(kind == "logfmt", _pair_segments(line, pair))
+        F.when(kind == "json", _json_segments(F.col("__hinted")))
+        .when(kind == "logfmt", _pair_segments(line, pair, F.col("__hinted")))
         .when(kind == "text", F.array(_segment(F.lit(""), line)))
         .otherwise(F.array(_segment(line)))
     )
-    return add(df, "__segments", segments.cast(SEGMENT)).drop("__list", "__tokens", "__keys")
+    add(steps, "__segments", segments.cast(SEGMENT))
 
 
 def searchable(segments: Column) -> Column:
@@ -77,19 +80,24 @@ def _segment(pre, txt=None, cat=None, post=None) -> Column:
     )
 
 
-def _pair_segments(line: Column, pair: str) -> Column:
+def _hinted_pairs(line: Column, pair: str) -> Column:
     keys = F.regexp_extract_all(line, F.lit(pair), F.lit(1))
     values = F.regexp_extract_all(line, F.lit(pair), F.lit(2))
+    return F.transform(
+        F.arrays_zip(keys.alias("k"), values.alias("v")),
+        lambda p: F.struct(p["k"].alias("token"), p["v"].alias("raw"), S.unquote(p["v"]).alias("text"), key_hint(p["k"]).alias("hint")),
+    )
+
+
+def _pair_segments(line: Column, pair: str, hinted: Column) -> Column:
     gaps = F.split(line, pair, -1)
 
     def one(p, i):
-        quote = F.when((F.length(p["v"]) >= 2) & p["v"].rlike(r"""(?s)^(["']).*\1$"""), F.left(p["v"], F.lit(1)))
-        quote = F.coalesce(quote, F.lit(""))
-        value = S.unquote(p["v"])
-        return _segment(F.concat(gaps[i], p["k"], F.lit("="), quote), value, category_for_key(p["k"], value), quote)
+        quote = F.when(F.length(p["raw"]) > F.length(p["text"]), F.left(p["raw"], F.lit(1))).otherwise("")
+        before = F.concat(gaps[i], p["token"], F.lit("="), quote)
+        return _segment(before, p["text"], hinted_category(p["hint"], p["text"]), quote)
 
-    pairs = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), one)
-    return F.concat(pairs, F.array(_segment(F.element_at(gaps, -1))))
+    return F.concat(F.transform(hinted, one), F.array(_segment(F.element_at(gaps, -1))))
 
 
 # --- JSON -------------------------------------------------------------------------------------------------------
@@ -138,23 +146,40 @@ def _token_keys(line: Column, tokens: Column) -> Column:
     return F.when(line.contains("["), folded).otherwise(direct)
 
 
-def _json_segments(tokens: Column, keys: Column) -> Column:
+def _hinted_tokens(tokens: Column, keys: Column) -> Column:
+    """Each token with its role: a key, a value with its text and hint, or anything else (no text)."""
+
     def one(token, i):
-        is_string = token.startswith('"')
-        text = F.when(is_string, json_text(token)).otherwise(token)
+        is_key = F.get(tokens, i + 1) == ":"
+        fixed = token.isin("{", "}", "[", "]", ",", ":", "null")
         key = keys[i]
-        category = F.when(key.isNotNull() & (key != '""'), category_for_key(json_text(key), text))
-        quote = F.lit('"')
-        return (
-            F.when(token.isin("{", "}", "[", "]", ",", ":", "null"), _segment(token))
-            .when(F.get(tokens, i + 1) == ":", _segment(F.concat(quote, json_escaped(text), quote)))
-            .when(is_string | category.isNotNull(), _segment(quote, text, category, quote))
-            .otherwise(_segment(token))
+        hint = F.when(~fixed & key.isNotNull() & (key != '""'), key_hint(json_text(key)))
+        text = F.when(token.startswith('"'), json_text(token)).otherwise(token)
+        return F.struct(
+            token.alias("token"),
+            F.when(is_key, "key").alias("raw"),
+            F.when(~fixed, text).alias("text"),
+            F.when(~F.coalesce(is_key, F.lit(False)), hint).alias("hint"),
         )
 
     return F.transform(tokens, one)
 
 
+def _json_segments(hinted: Column) -> Column:
+    quote = F.lit('"')
+
+    def one(t):
+        is_string = t["token"].startswith('"')
+        return (
+            F.when(t["text"].isNull(), _segment(t["token"]))
+            .when(t["raw"] == "key", _segment(F.concat(quote, json_escaped(t["text"]), quote)))
+            .when(is_string | t["hint"].isNotNull(), _segment(quote, t["text"], hinted_category(t["hint"], t["text"]), quote))
+            .otherwise(_segment(t["token"]))
+        )
+
+    return F.transform(hinted, one)
+
+
 def json_text(token: Column) -> Column:
     """Text of a JSON string token."""
     decoded = F.try_variant_get(F.try_parse_json(token), "$", "string")

@@ -12,25 +12,23 @@ def percentage(part: Column, whole: Column) -> Column:
     return F.when(share * 4 == F.floor(share * 4), F.bround(share, 1)).otherwise(F.round(share, 1))
 
 
-def summary(stats: DataFrame, groups: DataFrame) -> DataFrame:
-    totals = stats.groupBy("scope").agg(
+def summary(stats: DataFrame) -> DataFrame:
+    """One row per scope, from the pattern counts in one chain of aggregates (no join, no second pass)."""
+    patterns = stats.groupBy("scope", "is_error", F.lower("pattern").alias("pattern_key")).agg(
+        F.sum("n").alias("n"), F.sum("n_lines").alias("n_lines"), F.min_by("pattern", "first_pos").alias("pattern")
+    )
+    error = F.col("is_error")
+    order = F.struct((-F.col("n")).alias("c"), F.col("pattern_key"))
+    totals = patterns.groupBy("scope").agg(
         F.sum("n_lines").alias("total_lines"),
         F.sum("n").alias("parsed_lines"),
-        F.sum(F.when(F.col("is_error"), F.col("n")).otherwise(0)).alias("error_events"),
-    )
-    order = F.struct((-F.col("count")).alias("c"), F.col("pattern_key"))
-    top = groups.groupBy("scope").agg(
-        F.count("*").alias("unique_patterns"),
-        F.min_by("pattern", order).alias("dominant_issue"),
-        F.max("count").alias("__top"),
+        F.sum(F.when(error, F.col("n")).otherwise(0)).alias("error_events"),
+        F.count_if(error).alias("unique_patterns"),
+        F.min_by(F.col("pattern"), F.when(error, order)).alias("dominant_issue"),
+        F.max(F.when(error, F.col("n"))).alias("__top"),
     )
-    share = percentage(F.col("__top"), F.col("error_events"))
-    return totals.join(top, "scope", "left").select(
-        "scope",
-        "total_lines",
-        "parsed_lines",
-        "error_events",
-        F.coalesce("unique_patterns", F.lit(0)).cast("bigint").alias("unique_patterns"),
-        "dominant_issue",
+    share = F.when(F.col("error_events") > 0, percentage(F.col("__top"), F.col("error_events")))
+    return totals.select(
+        "scope", "total_lines", "parsed_lines", "error_events", "unique_patterns", "dominant_issue",
         F.coalesce(share, F.lit(0.0)).alias("dominant_percentage"),
     )

@@ -56,7 +56,7 @@ def from_stats(
         columns.append("examples")
     return Analysis(
         stats=stats,
-        summary=summary(stats, groups),
+        summary=summary(stats),
         source_types=G.source_counts(stats),
         groups=top.select(*columns),
         insights=C.insights(stats.sparkSession, C.classify(groups, rules), rules),

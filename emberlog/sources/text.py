@@ -61,3 +61,12 @@ def row_lines(df: DataFrame, line: str, scope: str | Column, order: str | Column
     scope = F.col(scope) if isinstance(scope, str) else scope
     order = F.col(order) if isinstance(order, str) else order
     return df.select(scope.cast("string").alias("scope"), order.alias("pos"), F.col(line).alias("line"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table of fewer splits than cores over the cores before costly row work.
+
+    Large tables have more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
