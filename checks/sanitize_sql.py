@@ -143,6 +143,8 @@ def documents_sql(what: str) -> str:
         if rule.card:
             found = f"list_filter(regexp_extract_all(t, {pattern}, 0), lambda c: {_luhn('regexp_replace(c, ' + _quoted('[^0-9]') + ', ' + _quoted('') + ', ' + _quoted('g') + ')')})"
             new = f"list_reduce(list_prepend(t, {found}), lambda a, c: replace(a, c, '<{rule.category}>'))"
+            # This engine's word boundary knows ASCII letters only: before any other letter the blank belongs to the match too.
+            new = f"regexp_replace({new}, '(<{rule.category}>)[ -]([^\\x00-\\x7F])', '\\1\\2', 'g')"
             count = f"len({found})"
         else:
             new = f"regexp_replace(t, {pattern}, {_quoted(chr(92) + '1<' + rule.category + '>' + chr(92) + '3')}, '{flags}')"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.functions.text import LINE_END, split_lines
+from emberlog.functions.text import LINE_END, split_lines, split_lines_with_ends
 
 # Extensions taken as log files.
 LOG_EXTENSIONS = ("log", "txt", "json", "jsonl", "out", "text")
@@ -43,17 +43,28 @@ def positioned(lines: DataFrame) -> DataFrame:
     return lines.select("scope", pos.alias("pos"), "line")
 
 
-def table_lines(df: DataFrame, text: str, scope: str | Column, order: str | Column | None = None) -> DataFrame:
-    """``lines(scope, pos, line)`` of a text column; ``order`` orders the rows of a scope."""
+def table_lines(
+    df: DataFrame, text: str, scope: str | Column, order: str | Column | None = None, keep_ends: bool = False
+) -> DataFrame:
+    """``lines(scope, pos, line)`` of a text column; ``order`` orders the rows of a scope.
+
+    ``keep_ends`` adds ``line_end``, each line's own ending, so that the text can be put together again unchanged.
+    """
     scope = F.col(scope) if isinstance(scope, str) else scope
     order = F.col(order) if isinstance(order, str) else order
     keep = [scope.cast("string").alias("scope")]
     if order is not None:
         keep.append(order.alias("__order"))
-    out = df.select(*keep, F.posexplode(split_lines(F.col(text))).alias("__n", "line"))
+    pieces = split_lines_with_ends(F.col(text)) if keep_ends else split_lines(F.col(text))
+    out = df.select(*keep, F.posexplode(pieces).alias("__n", "line"))
     number = F.col("__n").cast("bigint")
     pos = number if order is None else F.struct(F.col("__order").alias("row"), number.alias("n"))
-    return out.select("scope", pos.alias("pos"), "line")
+    if not keep_ends:
+        return out.select("scope", pos.alias("pos"), "line")
+    content = F.regexp_replace("line", rf"(?:{LINE_END})\z", "")
+    return out.select(
+        "scope", pos.alias("pos"), content.alias("line"), F.col("line").substr(F.length(content) + 1, F.lit(2)).alias("line_end")
+    )
 
 
 def row_lines(df: DataFrame, line: str, scope: str | Column, order: str | Column) -> DataFrame:
