@@ -36,9 +36,12 @@ def analyze(
 ) -> Analysis:
     """Analyse ``records(scope, pos, raw, n_lines)``; each scope is a unit of its own."""
     configure(records.sparkSession)
-    patterned = G.with_pattern(parse_records(records, source_type))
-    stats = G.pattern_stats(patterned)
-    return from_stats(stats, patterned if examples else None, max_groups, rules)
+
+    def patterned():
+        return G.with_pattern(parse_records(records, source_type))
+
+    # The examples get a chain of their own: joining one chain with itself makes the analyzer rename it step by step.
+    return from_stats(G.pattern_stats(patterned()), patterned() if examples else None, max_groups, rules)
 
 
 def from_stats(

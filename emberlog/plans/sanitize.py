@@ -18,7 +18,7 @@ EXAMPLES_KEPT = 3
 
 @dataclass(frozen=True)
 class Sanitized:
-    lines: DataFrame  # scope, pos, line, kind, sanitized and the other columns of the input
+    lines: DataFrame  # scope, pos, line, kind, sanitized, n_matches and the other columns of the input
     matches: DataFrame  # scope, place, category, original
     categories: DataFrame  # scope, category, n
     summary: DataFrame  # scope, total_lines, transformed_lines, total_matches
@@ -37,7 +37,7 @@ def sanitize(lines: DataFrame, mode: str = "mask", preserve_correlation: bool =
     numbered = mode == "mask" and preserve_correlation
     redacted = redact(lines, mode, numbered, salt)
     found = matches(redacted)
-    out = redacted.drop("hits").withColumnRenamed("redacted", "sanitized")
+    out = redacted.withColumn("n_matches", F.size("hits")).drop("hits").withColumnRenamed("redacted", "sanitized")
     numbers = None
     if numbered:
         numbers = number_values(found)
@@ -47,18 +47,17 @@ def sanitize(lines: DataFrame, mode: str = "mask", preserve_correlation: bool =
         lines=out,
         matches=found,
         categories=categories,
-        summary=_summary(out, categories),
+        summary=_summary(out),
         examples=_examples(found, mode, numbers, salt),
     )
 
 
-def _summary(lines: DataFrame, categories: DataFrame) -> DataFrame:
-    counts = lines.groupBy("scope").agg(
+def _summary(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("scope").agg(
         F.count_if(strip(F.col("line")) != "").alias("total_lines"),
         F.count_if(F.col("sanitized") != F.col("line")).alias("transformed_lines"),
+        F.sum("n_matches").alias("total_matches"),
     )
-    total = categories.groupBy("scope").agg(F.sum("n").alias("total_matches"))
-    return counts.join(total, "scope", "left").withColumn("total_matches", F.coalesce("total_matches", F.lit(0).cast("bigint")))
 
 
 def _examples(found: DataFrame, mode: str, numbers: DataFrame | None, salt: str) -> DataFrame:
