@@ -88,6 +88,20 @@ def group_examples(patterned: DataFrame) -> DataFrame:
     )
 
 
+def with_examples(groups: DataFrame, examples: DataFrame) -> DataFrame:
+    """Bring groups and their examples together by one aggregate over both; each side has one row per group.
+
+    A join would make the optimizer infer constraints through both long chains at once, which takes it minutes.
+    """
+    keys = ["scope", "pattern_key"]
+    rest = [c for c in groups.columns if c not in keys]
+    left = groups.select(*keys, F.struct(*rest).alias("__group"), F.lit(None).cast("array<string>").alias("examples"))
+    right = examples.select(*keys, F.lit(None).cast(left.schema["__group"].dataType).alias("__group"), "examples")
+    both = left.unionByName(right).groupBy(*keys)
+    merged = both.agg(F.max("__group").alias("__group"), F.max("examples").alias("examples"))
+    return merged.where(F.col("__group").isNotNull()).select(*keys, *[F.col(f"__group.{c}").alias(c) for c in rest], "examples")
+
+
 def source_counts(stats: DataFrame) -> DataFrame:
     """Records per source type."""
     return stats.groupBy("scope", "source_type").agg(F.sum("n").alias("n"))

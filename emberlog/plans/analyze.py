@@ -55,7 +55,7 @@ def from_stats(
     top = C.classify(G.ranked(groups, max_groups), rules)
     columns = ["scope", "rank", "pattern", "count", "level", "service", "source_type", "classification"]
     if patterned is not None:
-        top = top.join(G.group_examples(patterned), ["scope", "pattern_key"], "left")
+        top = G.with_examples(top.select("pattern_key", *columns), G.group_examples(patterned))
         columns.append("examples")
     return Analysis(
         stats=stats,
