@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import exact_dedup, url_filter
+from emberlog.llm import exact_dedup, mixture, token_output, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,10 +20,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(_documents(spark, sf_dir))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(_documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
-for _query in (op5_url_filter, op10_exact_dedup):
+for _query in (op5_url_filter, op6_token_output, op8_mixing, op10_exact_dedup):
     QUERIES[_query.__name__] = _query
 ORACLE["op10_exact_dedup"] = exact_dedup.ORACLE
