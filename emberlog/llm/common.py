@@ -56,3 +56,29 @@ def word_count(text: Column) -> Column:
 def fold(key: Column, modulus: int) -> Column:
     """The fold of a row: crc32 of the key as text."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(modulus))
+
+
+def bounded_sample(rows: DataFrame, label: str, most: dict | int, key: str = "doc_id", seed: int = 7) -> tuple[DataFrame, dict]:
+    """About ``most`` rows of each label, by a seeded hash of the key, and each label's count before.
+
+    A label's rows are kept with probability ``most / count``, so nothing is sorted or gathered; null labels are left out.
+    """
+    counts = {r[0]: r[1] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    kept = F.lit(0.0)
+    for value, n in counts.items():
+        bound = most if isinstance(most, int) else most.get(value, 0)
+        kept = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, bound / n))).otherwise(kept)
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return rows.where(F.col(label).isNotNull() & (place < kept)), counts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training, most: dict, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict]:
+    """``text, label`` of a bounded sample of the labelled rows for which ``training`` holds; of a key's labels the largest counts.
+
+    The sampled keys, at most about the sum of ``most``, are broadcast to the scan of the texts.
+    """
+    rows = labels.where(training(labels[key])).select(labels[key].alias("_key"), labels[label].cast("int").alias("_label"))
+    sample, counts = bounded_sample(rows, "_label", most, "_key")
+    sample = staged(sample.groupBy("_key").agg(F.max("_label").alias("_label")), "sample")
+    joined = docs.select(docs[key].alias("_doc"), docs[text].alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_key"))
+    return joined.select(text_of("_text").alias("text"), F.col("_label").alias("label")), counts

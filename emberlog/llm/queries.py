@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import exact_dedup, mixture, token_output, url_filter
+from emberlog.llm import exact_dedup, language_mixture, mixture, quality, token_output, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -16,6 +16,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mixture.identify(_documents(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -28,10 +40,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(_documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
-for _query in (op5_url_filter, op6_token_output, op8_mixing, op10_exact_dedup):
+for _query in (op2_language_id, op3_quality, op5_url_filter, op6_token_output, op8_mixing, op9_toxicity, op10_exact_dedup):
     QUERIES[_query.__name__] = _query
 ORACLE["op10_exact_dedup"] = exact_dedup.ORACLE
