@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import exact_dedup, language_mixture, mixture, quality, token_output, toxicity, url_filter
+from emberlog.llm import decontaminate, exact_dedup, language_mixture, mixture, quality, simhash, token_output, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,6 +20,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mixture.identify(_documents(spark, sf_dir))
 
@@ -36,6 +40,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(_documents(spark, sf_dir))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(_documents(spark, sf_dir))
 
@@ -48,6 +56,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
-for _query in (op2_language_id, op3_quality, op5_url_filter, op6_token_output, op8_mixing, op9_toxicity, op10_exact_dedup):
+for _query in (op1_simhash, op2_language_id, op3_quality, op5_url_filter, op6_token_output, op7_decontamination, op8_mixing, op9_toxicity, op10_exact_dedup):
     QUERIES[_query.__name__] = _query
 ORACLE["op10_exact_dedup"] = exact_dedup.ORACLE
