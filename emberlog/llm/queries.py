@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import decontaminate, exact_dedup, language_mixture, mixture, quality, simhash, token_output, toxicity, url_filter
+from emberlog.llm import decontaminate, exact_dedup, language_mixture, mixture, quality, simhash, span_dedup, token_output, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +32,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.removals(_documents(spark, sf_dir))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -56,6 +60,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
-for _query in (op1_simhash, op2_language_id, op3_quality, op5_url_filter, op6_token_output, op7_decontamination, op8_mixing, op9_toxicity, op10_exact_dedup):
+for _query in (op1_simhash, op2_language_id, op3_quality, op4_span_dedup, op5_url_filter, op6_token_output, op7_decontamination, op8_mixing, op9_toxicity, op10_exact_dedup):
     QUERIES[_query.__name__] = _query
 ORACLE["op10_exact_dedup"] = exact_dedup.ORACLE
+ORACLE["op4_span_dedup"] = span_dedup.ORACLE
