@@ -23,9 +23,9 @@ def words_at(buffer: np.ndarray, n: int, kind: str = "<u8") -> np.ndarray:
     return np.ndarray((n,), kind, buffer, 0, (1,))
 
 
-def suffix_order(buffer: np.ndarray, at: np.ndarray, depth: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Larsson-Sadakane refinement: the positions that still share their first ``depth`` / 2 bytes or more with another one, in the
-    order of their first ``depth`` bytes, and their groups.
+def suffix_order(buffer: np.ndarray, at: np.ndarray, depth: int = 64) -> np.ndarray:
+    """Larsson-Sadakane refinement: those of the positions that share their first ``depth`` / 2 bytes or more with another one, in the
+    order of their first ``depth`` bytes.
 
     Ranks by eight bytes come from one sort; each round doubles the bytes a rank stands for by sorting pairs of ranks (its own and
     that of the suffix as many bytes on), and only within groups of more than one. Suffixes alone in their group are final: no
@@ -38,7 +38,8 @@ def suffix_order(buffer: np.ndarray, at: np.ndarray, depth: int = 64) -> tuple[n
     new[:1] = True
     new[1:] = keys[order[1:]] != keys[order[:-1]]
     rank = np.zeros(n, np.int64)
-    rank[order] = np.cumsum(new)
+    first = np.flatnonzero(new)
+    rank[order] = np.repeat(first, np.diff(np.append(first, len(order))))  # where a group begins in the sorted order
     live = np.zeros(n, bool)
     live[at] = True
     reach = 8
@@ -65,8 +66,7 @@ def suffix_order(buffer: np.ndarray, at: np.ndarray, depth: int = 64) -> tuple[n
         if reach < depth:
             alone = new & np.append(new[1:], True)
             order, group = order[~alone], group[~alone]
-    keep = live[order]
-    return order[keep], group[keep]
+    return order[live[order]]
 
 
 def common_prefixes(buffer: np.ndarray, order: np.ndarray, cap: int = SPAN) -> np.ndarray:
@@ -110,10 +110,10 @@ def window_starts(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 def repeated_windows(buffer: np.ndarray, starts: np.ndarray, valid: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Starts of the windows that also begin in a document of the buffer with a smaller rank, by the buffer's suffix array."""
-    order, group = suffix_order(buffer, np.flatnonzero(valid))
+    order = suffix_order(buffer, np.flatnonzero(valid))
     if not len(order):
         return order
-    new = (common_prefixes(buffer, order) < SPAN) | np.append(True, group[1:] != group[:-1])
+    new = common_prefixes(buffer, order) < SPAN
     rank = ranks[owners(starts, order)]
     first = np.flatnonzero(new)
     least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(order))))
