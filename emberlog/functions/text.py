@@ -12,6 +12,10 @@ MARK_CLOSE = "\ufdd2"
 MARK_PAIR = "\ufdd3"
 MARKS = MARK_SEP + MARK_OPEN + MARK_CLOSE + MARK_PAIR
 
+# Marks that a text holds itself are written as an escape and a stand-in, both noncharacters too, and restored in the output.
+MARK_ESCAPE = "\ufdd4"
+_STAND_IN = {mark: MARK_ESCAPE + chr(0xFDE0 + k) for k, mark in enumerate((*MARKS, MARK_ESCAPE))}
+
 # The characters that count as white space, and those that end a line.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -21,7 +25,7 @@ WHITESPACE = (
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 NOT_LINE_END = r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 WS_CLASS = r"[\s\x1c-\x1f]"
-UNCLEAN = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029\ufdd0-\ufdd3]"
+UNCLEAN = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029\ufdd0-\ufdd4]"
 
 # The key=value shape and the shapes of service names and durations.
 KEY_VALUE = r"""([A-Za-z_][\w.\-]*)=("[^"]*"|'[^']*'|[^\s]+)"""
@@ -46,11 +50,33 @@ def null_if_empty(col: Column) -> Column:
     return F.when(col != "", col)
 
 
-def clean(col: Column) -> Column:
-    """Only ``\\n`` as line end, and the inner separators, should a text hold them, replaced. One scan if neither occurs."""
+def clean(col: Column, inner: bool = False) -> Column:
+    """Only ``\\n`` as line end, and the inner separators, should a text hold them, escaped. One scan if neither occurs.
+
+    ``inner`` text stems from text that is escaped already: only marks that its decoding brought in are escaped.
+    """
     ends = F.regexp_replace(col, LINE_END, "\n")
     unclean = col.rlike(r"[^ -~\t\n]") & col.rlike(UNCLEAN)
-    return F.when(unclean, F.translate(ends, MARKS, "\ufffd" * len(MARKS))).otherwise(col)
+    return F.when(unclean, _stand_ins(ends, not inner)).otherwise(col)
+
+
+def _stand_ins(col: Column, with_escape: bool) -> Column:
+    for mark in (MARK_ESCAPE, *MARKS) if with_escape else MARKS:
+        col = F.replace(col, F.lit(mark), F.lit(_STAND_IN[mark]))
+    return col
+
+
+def escape_marks(col: Column, with_escape: bool = True) -> Column:
+    """The text with its own marks, if any, as stand-ins."""
+    return F.when(col.rlike("[\ufdd0-\ufdd4]"), _stand_ins(col, with_escape)).otherwise(col)
+
+
+def restore_marks(col: Column) -> Column:
+    """The text with its stand-ins as the marks they stand for."""
+    out = col
+    for mark in (*MARKS, MARK_ESCAPE):
+        out = F.replace(out, F.lit(_STAND_IN[mark]), F.lit(mark))
+    return F.when(col.contains(MARK_ESCAPE), out).otherwise(col)
 
 
 def folded(col: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,32 +13,41 @@ from emberlog.functions.text import unicode_re
 from emberlog.sources.rules import Rule, rules_table
 
 UNKNOWN = "UNKNOWN"
-MAX_TABLE_RULES = 1_000
+#: Rules in one CASE.
+BLOCK_RULES = 200
+
+
+def _blocks(rules: Iterable[Rule]) -> Iterator[list[Rule]]:
+    rules = iter(rules)
+    while block := list(islice(rules, BLOCK_RULES)):
+        yield block
 
 
 def rule_priority(pattern: Column, rules: list[Rule]) -> Column:
-    """Priority of the first rule whose pattern occurs, ignoring case; NULL for none."""
-    usable = [r for r in rules if r.pattern]
-    case = reduce(lambda c, r: c.when(pattern.rlike(unicode_re(r.pattern, "i")), r.priority), usable, F)
-    return F.lit(None).cast("int") if case is F else case
+    """Priority of the first rule whose pattern occurs, ignoring case; NULL for none.
+
+    Each block of rules is a CASE of its own; a later block is tried only where no earlier one hit.
+    """
+    tests = []
+    for block in _blocks(r for r in rules if r.pattern):
+        tests.append(reduce(lambda c, r: c.when(pattern.rlike(unicode_re(r.pattern, "i")), r.priority), block, F))
+    return F.coalesce(*tests) if tests else F.lit(None).cast("int")
 
 
 def classify(groups: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add ``rule_priority`` and ``classification``. The rules are driver-side literals: no join, no shuffle."""
     df = groups.withColumn("rule_priority", rule_priority(F.col("pattern"), rules))
-    names = reduce(lambda c, r: c.when(F.col("rule_priority") == r.priority, r.classification), rules, F)
-    return df.withColumn("classification", F.lit(UNKNOWN) if names is F else names.otherwise(UNKNOWN))
+    names = [reduce(lambda c, r: c.when(F.col("rule_priority") == r.priority, r.classification), block, F) for block in _blocks(rules)]
+    return df.withColumn("classification", F.coalesce(*names, F.lit(UNKNOWN)))
 
 
-def classify_by_table(groups: DataFrame, rules: DataFrame, max_rules: int = MAX_TABLE_RULES) -> DataFrame:
-    """The same for rules that come as a table ``priority, pattern, classification``.
+def classify_by_table(groups: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same for rules that come as a table ``priority, pattern, classification``, of any number.
 
-    The table is read to the driver behind a check of its size and becomes the same CASE: each pattern is compiled once per
-    task, where a join on ``rlike`` would compile it again for every pair of group and rule.
+    The rules are read in order of priority, partition by partition, and become the same CASE steps: each pattern is compiled once
+    per task, where a join on ``rlike`` would compile it again for every pair of group and rule.
     """
-    rows = rules.select("priority", "pattern", "classification").orderBy("priority").limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} rules")
+    rows = rules.select("priority", "pattern", "classification").orderBy("priority").toLocalIterator()
     listed = [Rule(r["priority"], None, r["pattern"] or "", r["classification"] or UNKNOWN, "", [], []) for r in rows]
     return classify(groups, listed)
 

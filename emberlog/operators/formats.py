@@ -155,11 +155,18 @@ def parse_records(records: DataFrame, source_type: str = "auto") -> DataFrame:
     df = replay(records, _write_steps, source_type)
     return df.select(
         *keep,
-        *[settled(F.col(f"__{c}")).alias(c) for c in PARSED],
+        *[settled(_restored(c)).alias(c) for c in PARSED],
         settled(F.coalesce("__json0", "__json")).alias("payload"),
     )
 
 
+def _restored(name: str) -> Column:
+    value = F.col(f"__{name}")
+    if name in ("message", "service", "timestamp"):
+        return S.restore_marks(value)
+    return F.transform_values(value, lambda _, v: S.restore_marks(v)) if name == "fields" else value
+
+
 def _write_steps(steps: Steps, source_type: str) -> None:
     add(steps, "__text0", S.clean(F.col("raw")))
     for depth in range(UNWRAP_DEPTH):
@@ -218,7 +225,7 @@ def _unwrap(df: Steps, depth: int, source_type: str) -> Steps:
     inner = F.when(box == "docker_json", log).when(box == "cri", cri[3])
     df = add(df, f"__inner{depth}", inner)
     inner = F.col(f"__inner{depth}")
-    return add(df, f"__text{depth + 1}", F.when(box.isNotNull(), S.clean(inner)).otherwise(text))
+    return add(df, f"__text{depth + 1}", F.when(box.isNotNull(), S.clean(inner, inner=True)).otherwise(text))
 
 
 def _wrap(df: Steps, depth: int) -> Steps:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.plan import Steps, add, replay, settled
 from emberlog.functions.secrets import TEXT_RULES, may_match, passes_luhn, placeholder, rule_regex
-from emberlog.functions.text import MARK_CLOSE, MARK_OPEN, MARK_SEP, folded
+from emberlog.functions.text import MARK_CLOSE, MARK_OPEN, MARK_SEP, folded, restore_marks
 from emberlog.operators.segments import reassembled, searchable, write_segments
 
 HIT = "array<struct<seg:int,rule:int,idx:int,category:string,original:string>>"
@@ -37,7 +37,7 @@ def _write_steps(df: Steps, mode: str, correlate: bool, salt: str) -> None:
             segments,
             lambda s, i: F.struct(
                 i.alias("seg"), F.lit(HINTED).alias("rule"), F.lit(0).alias("idx"),
-                s["cat"].alias("category"), s["txt"].alias("original"),
+                s["cat"].alias("category"), restore_marks(s["txt"]).alias("original"),
             ),
         ),
         lambda h: h["category"].isNotNull(),
@@ -52,46 +52,46 @@ def _write_steps(df: Steps, mode: str, correlate: bool, salt: str) -> None:
         add(df, {
                 "__text": F.when(hit, F.array_join(F.transform(pieces, _replace(rule, mode, correlate, salt)), ""))
                 .otherwise(F.col("__marked")),
-                "__hits": F.when(hit, F.concat("__hits", _hits(pieces, rule, number))).otherwise(F.col("__hits")),
+                "__hits": F.when(hit, F.concat("__hits", _hits(F.col("__marked"), rule, number))).otherwise(F.col("__hits")),
             }
         )
     add(df, "__results", F.split("__text", MARK_SEP, -1))
     results = F.transform(
         segments,
         lambda s, i: F.when(s["cat"].isNull(), F.col("__results")[i]).otherwise(
-            placeholder(s["cat"], s["txt"], mode, correlate, salt)
+            placeholder(s["cat"], restore_marks(s["txt"]), mode, correlate, salt)
         ),
     )
     add(df, "__results", F.when(F.col("kind") == "text", F.col("__results")).otherwise(results))
     whole = reassembled(F.col("kind"), segments, F.col("__results"))
-    whole = F.when(F.col("kind") == "blank", F.col("__line")).otherwise(whole)
+    whole = restore_marks(F.when(F.col("kind") == "blank", F.col("__line")).otherwise(whole))
     add(df, {"redacted": whole, "hits": F.col("__hits")})
 
 
 def _replace(rule, mode: str, correlate: bool, salt: str):
     def one(piece, i):
-        new = placeholder(F.lit(rule.category), piece, mode, correlate, salt)
+        new = placeholder(F.lit(rule.category), restore_marks(piece), mode, correlate, salt)
         wanted = (i % 2 == 1) & passes_luhn(piece) if rule.card else i % 2 == 1
         return F.when(wanted, new).otherwise(piece)
 
     return one
 
 
-def _hits(pieces: Column, rule, number: int) -> Column:
-    """The replaced pieces of a rule with the segment they stand in."""
+def _hits(marked: Column, rule, number: int) -> Column:
+    """The replaced values of a rule with the segment they stand in; no rule runs over the end of a segment."""
 
-    def one(piece, i):
-        before = F.array_join(F.slice(pieces, F.lit(1), i), "")
-        segment = F.length(before) - F.length(F.replace(before, F.lit(MARK_SEP)))
-        return F.struct(
-            segment.alias("seg"), F.lit(number).alias("rule"), i.alias("idx"),
-            F.lit(rule.category).alias("category"), piece.alias("original"),
-        )
+    def of_segment(text, segment):
+        def one(piece, i):
+            return F.struct(
+                segment.alias("seg"), F.lit(number).alias("rule"), i.alias("idx"),
+                F.lit(rule.category).alias("category"), restore_marks(piece).alias("original"),
+            )
+
+        pieces = F.transform(F.split(text, f"[{MARK_OPEN}{MARK_CLOSE}]", -1), one)
+        found = F.filter(pieces, lambda h: h["idx"] % 2 == 1)
+        return F.filter(found, lambda h: passes_luhn(h["original"])) if rule.card else found
 
-    values = F.filter(F.transform(pieces, one), lambda h: h["idx"] % 2 == 1)
-    if rule.card:
-        values = F.filter(values, lambda h: passes_luhn(h["original"]))
-    return values.cast(HIT)
+    return F.flatten(F.transform(F.split(marked, MARK_SEP, -1), of_segment)).cast(HIT)
 
 
 def matches(redacted: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from emberlog.functions import text as S
 from emberlog.functions.plan import Steps, add
 from emberlog.functions.secrets import hinted_category, key_hint
-from emberlog.functions.text import KEY_VALUE, MARK_SEP, MARKS, WS_CLASS, unicode_re
+from emberlog.functions.text import KEY_VALUE, MARK_SEP, WS_CLASS, unicode_re
 
 JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 JSON_TOKEN = JSON_STRING + r'|[{}\[\],:]|[^\s{}\[\],:"]++'
@@ -24,9 +24,7 @@ SEGMENT = "array<struct<pre:string,txt:string,cat:string,post:string>>"
 def write_segments(steps: Steps) -> None:
     """Write the steps that add ``kind`` (blank, json, logfmt, text) and ``__segments`` to lines."""
     line = F.col("__line")
-    marks = f"[{MARKS}]"
-    cleaned = F.when(F.col("line").rlike(marks), F.translate("line", MARKS, "\ufffd" * len(MARKS))).otherwise(F.col("line"))
-    add(steps, "__line", cleaned)
+    add(steps, "__line", S.escape_marks(F.col("line")))
     text = F.trim(line, F.lit(" \t\r\n"))
     add(steps, "__list", F.when(text.rlike("(?s)" + JSON_LIKE), F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
     )
@@ -183,7 +181,7 @@ def _json_segments(hinted: Column) -> Column:
 def json_text(token: Column) -> Column:
     """Text of a JSON string token."""
     decoded = F.try_variant_get(F.try_parse_json(token), "$", "string")
-    decoded = F.translate(decoded, MARKS, "\ufffd" * len(MARKS))
+    decoded = S.escape_marks(decoded, with_escape=False)
     return F.when(token.contains("\\"), decoded).otherwise(token.substr(F.lit(2), F.length(token) - 2))
 
 

@@ -11,7 +11,7 @@ from emberlog.functions.secrets import MODES, identity_key, placeholder, preview
 from emberlog.functions.text import MARK_SEP, strip
 from emberlog.operators.correlate import number_values, renumber
 from emberlog.operators.redact import matches, redact
-from emberlog.session import configure
+from emberlog.session import configure, staged
 
 EXAMPLES_KEPT = 3
 
@@ -29,19 +29,23 @@ def sanitize(lines: DataFrame, mode: str = "mask", preserve_correlation: bool =
     """Sanitise ``lines(scope, pos, line)``; ``(scope, pos)`` must name a line.
 
     ``mode='mask'`` writes ``<CAT:n>`` (``<CAT>`` without correlation), ``mode='hash'`` writes ``<CAT:hash>``.
-    Numbered masks run one job here to number the distinct values; all else is lazy.
+    Numbered masks run two jobs here: one writes the redacted lines and their values to the shared checkpoint folder, which all
+    results then read, one numbers the distinct values. Only lines with a value travel to get its number. All else is lazy.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     configure(lines.sparkSession)
     numbered = mode == "mask" and preserve_correlation
     redacted = redact(lines, mode, numbered, salt)
+    if numbered:
+        redacted = staged(redacted, "redacted")
     found = matches(redacted)
     out = redacted.withColumn("n_matches", F.size("hits")).drop("hits").withColumnRenamed("redacted", "sanitized")
     numbers = None
     if numbered:
         numbers = number_values(found)
-        out = renumber(out, "sanitized", ["scope", "pos"], numbers)
+        some = renumber(out.where(F.col("n_matches") > 0), "sanitized", ["scope", "pos"], numbers)
+        out = some.unionByName(out.where(F.col("n_matches") <= 0))
     categories = found.groupBy("scope", "category").agg(F.count("*").alias("n"))
     return Sanitized(
         lines=out,

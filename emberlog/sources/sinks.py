@@ -36,10 +36,15 @@ def write_analysis(
     return result
 
 
-def write_sanitized(result: Sanitized, path: str) -> None:
-    """Write the safe lines as text in their order: part files follow each other, lines within a part too."""
+def write_sanitized(result: Sanitized, path: str, report: str | None = None) -> None:
+    """Write the safe lines as text in their order: part files follow each other, lines within a part too.
+
+    With ``report`` the summary, the counts by category and the examples are written under it as Parquet.
+    """
     ordered = result.lines.select("scope", "pos", "sanitized").repartitionByRange("scope", "pos")
     ordered.sortWithinPartitions("scope", "pos").select("sanitized").write.mode("overwrite").text(path)
+    for name in ("summary", "categories", "examples") if report else ():
+        getattr(result, name).write.mode("overwrite").parquet(f"{report}/{name}")
 
 
 def rejoined_text(sanitized_lines: DataFrame) -> DataFrame:
