@@ -348,10 +348,10 @@ def classify_rule_table(spark, sf_dir):
     "insights",
     f"""WITH best AS (SELECT classification, min(rank) AS r FROM ({RANKED}) WHERE classification <> 'UNKNOWN' GROUP BY 1)
     SELECT CAST(row_number() OVER (ORDER BY r) AS INTEGER) AS rank, classification,
-      CASE classification WHEN 'NETWORK_ERROR' THEN 'Connections to a dependency fail' WHEN 'DNS_ERROR' THEN 'Host names do not resolve'
-        WHEN 'TIMEOUT' THEN 'Calls run into their time limit' WHEN 'DATABASE_ERROR' THEN 'Database access fails'
-        WHEN 'RATE_LIMIT' THEN 'Requests are throttled' ELSE 'The proxy layer answers with gateway errors' END AS title,
-      CASE classification WHEN 'RATE_LIMIT' THEN 3 ELSE 4 END AS n_actions FROM best""",
+      CASE classification WHEN 'NETWORK_ERROR' THEN 'A peer does not accept or keep connections' WHEN 'DNS_ERROR' THEN 'A host name has no usable answer'
+        WHEN 'TIMEOUT' THEN 'Work takes longer than its callers allow' WHEN 'DATABASE_ERROR' THEN 'The data store cannot take or finish statements'
+        WHEN 'RATE_LIMIT' THEN 'A limit on calls has been reached' ELSE 'The edge cannot get a good answer from what it forwards to' END AS title,
+      CASE classification WHEN 'RATE_LIMIT' THEN 2 ELSE 3 END AS n_actions FROM best""",
 )
 def insights(spark, sf_dir):
     result = analyze(_records(spark, sf_dir), max_groups=1, examples=False)

@@ -1,49 +1,38 @@
-"""Sample texts in the shapes of FIXTURES.md, written anew."""
+"""Sample texts of one invented incident each: a warehouse robot fleet, and a clinic's booking desk."""
 
-ANALYSIS = "\n".join(
-    [
-        *[
-            f'{{"@timestamp":"2026-05-01T08:00:0{i}Z","log":{{"level":"error","logger":"cart"}},"service":{{"name":"cart-api"}},'
-            f'"trace":{{"id":"aa{i}"}},"message":"Connection refused to upstream 10.9.0.{i}:8443 request_id=req-{i}00"}}'
-            for i in (1, 2, 3)
-        ],
-        'ts=2026-05-01T08:00:04Z level=error app=edge msg="upstream timed out while reading" request_id=req-9 path=/v1/pay/9001',
-        'ts=2026-05-01T08:00:05Z level=error app=edge msg="upstream timed out while reading" request_id=req-8 path=/v1/pay/9002',
-        '2026-05-01T08:00:06.5Z stderr F {"level":"error","service":"profile","message":"lookup db.default.svc: no such host"}',
-        '2026-05-01T08:00:07.5Z stderr F level=error app=profile msg="lookup db.default.svc: no such host"',
-        '{"log":"{\\"level\\":\\"error\\",\\"service\\":\\"job\\",\\"message\\":\\"deadline exceeded at q-0.q:9092\\"}\\n","stream":"stderr","time":"2026-05-01T08:00:08Z"}',
-        '10.0.0.1 - - [01/May/2026:08:00:09 +0000] "POST /buy/778899 HTTP/1.1" 502 12 "-" "x"',
-        '2026/05/01 08:00:10 [error] 5#5: *7 connect() failed (111: Connection refused), client: 10.0.0.1',
-        "2026-05-01 08:00:11 UTC [77] ERROR:  deadlock detected",
-        "DETAIL:  Process 1 waits.",
-        "STATEMENT:  update t set a=1;",
-        "2026-05-01T08:00:12.000Z 0 [ERROR] [MY-1] [Server] disk is full",
-        "77:M 01 May 2026 08:00:13.001 # Error: max number of clients reached",
-        "2026-05-01 08:00:14,001 ERROR [shop] c.e.Shop - NullPointerException in cart",
-        "    at com.example.Shop.buy(Shop.java:4)",
-        "",
-        "Caused by: java.lang.IllegalStateException: none",
-        "2026-05-01 08:00:15,002 shop.api ERROR RuntimeError: boom",
-        "Traceback (most recent call last):",
-        '  File "/srv/a.py", line 8, in buy',
-        "    run()",
-        "RuntimeError: boom",
-        "May  1 08:00:16 host-1 kubelet[12]: Back-off restarting failed container shop",
-        '{"time":"2026-05-01T08:00:17Z","level":"info","service":"shop","msg":"request completed status=200"}',
-    ]
-)
+import json
+
+FLEET = ("picker", "lifter", "sorter")
+
+
+def _analysis() -> list[str]:
+    lines = ["Robot fleet report, night shift"]
+    # The database fills its disk first, everything else follows from that.
+    lines += ["2026-11-03T02:10:00.000Z 9 [ERROR] [MY-44] [Server] no space left on device while writing page 811"]
+    lines += ["2026-11-03 02:10:01 UTC [501] FATAL:  could not extend file", "HINT:  Check free disk space.", "2026-11-03 02:10:02 UTC [502] ERROR:  duplicate key value"]
+    lines += [f"2026-11-03 02:10:0{3 + k},250 ERROR [{robot}] w.r.Arm - IndexOutOfBounds in slot {4000 + k}\n\tat w.r.Arm.grab(Arm.java:1{k})\nCaused by: w.r.Lost: bin" for k, robot in enumerate(FLEET)]
+    lines += [f"<11>1 2026-11-03T02:10:1{k}Z dock{k} conveyor 77 J{k} - panic: belt index 1{k}00 out of reach" for k in range(4)]
+    lines += [f"level=warn service=charger msg=\"battery low\" robot={robot}" for robot in FLEET]
+    lines += ["Nov  3 02:10:20 dock-2 chronyd[55]: NTP source unreachable, network is unreachable"]
+    lines += [json.dumps({"log": f"level=critical app=router msg=\"x509: issuer unknown for robot{k}.fleet.example\"\n", "stream": "stdout", "time": f"2026-11-03T02:10:3{k}Z"}) for k in range(2)]
+    lines += ['192.0.2.15 - - [03/Nov/2026:02:10:40 +0000] "GET /robots/550011 HTTP/1.1" 200 7 "-" "panel"', '192.0.2.15 - - [03/Nov/2026:02:10:41 +0000] "PUT /robots/550012 HTTP/1.1" 503 0 "-" "panel"']
+    lines += ["2026-11-03T02:10:50Z stdout F all arms parked"]
+    return lines
+
+
+ANALYSIS = "\n".join(_analysis())
 
 SECRETS = "\n".join(
     [
-        '{"ts":"2026-05-01","user_email":"ann@example.org","request_id":"req-77","authorization":"Bearer abc.def"}',
-        'level=error email="ann@example.org" request_id=req-77 token=zz99yy88',
-        "client_ip=10.1.2.3 session_id=sess-1 phone=+1 (202) 555-0199",
-        "Cookie: sid=1; theme=dark",
-        "password=hunter22 upstream=https://a.local/x",
-        '{"email":"bob@example.org","card_number":"4111 1111 1111 1111","client_id":"client-9"}',
-        "see http://10.1.2.3/x and 4111111111111112",
-        '{"tags":["c@d.ee",{"ip":"x"},["e@f.gg"]],"ip":["1.1.1.1",5,null],"n":1.0}',
+        "Desk notes for Tuesday",
+        "patient called from +1 (202) 555-0147, host=198.51.100.20",
+        json.dumps({"desk": 3, "contact": ["mara@clinic.example", {"password": "tulip-9"}], "seen": True}),
+        "session_id=walk-in-1 desk=3",
+        "Set-Cookie: visit=7; path=/",
+        "mail mara@clinic.example or teo@clinic.example",
+        "Authorization: Bearer q1.w2",
+        "card 5555 5555 5555 4444 accepted, 5555555555554445 refused",
         "",
-        "1234567890123456",
+        "token=blue-41 client_ip=198.51.100.20",
     ]
 )
