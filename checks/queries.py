@@ -278,6 +278,8 @@ _VALUES = (
     ("CAST(o_orderkey AS STRING)", "order <NUMBER>", "'order 1000' || CAST(o_orderkey AS STRING)"),
     ("uuid", "id <UUID>", "'id 123e4567-e89b-12d3-a456-42661417' || lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0')"),
     ("span", "span_id=<ID>", "'span-id:s' || CAST(o_orderkey AS STRING)"),
+    ("correlation", "correlation_id=<ID>", "'correlation-id=c' || CAST(o_orderkey AS STRING)"),
+    ("request", "request_id=<ID> x", "'request_id=r' || CAST(o_orderkey AS STRING) || ' x'"),
     ("session", "session_id=<ID>", "'session id:' || CAST(o_orderkey AS STRING)"),
     ("uid", "uid=<ID> done", "'uid=u' || CAST(o_orderkey AS STRING) || ' done'"),
     ("hex", "blob <HEX>", "'blob deadbeefdeadbeef' || CAST(o_orderkey AS STRING)"),
