@@ -172,3 +172,49 @@ def parse_json_values(spark, sf_dir):
     configure(spark)
     parsed = parse_records(records_from_rows(lines.drop("scope", "pos"), "line", _all(), "event_id"))
     return parsed.select(F.col("pos").alias("event_id"), "message")
+
+
+# --- containers ---------------------------------------------------------------------------------------------------
+
+DEEPEST = 5
+
+
+def _boxed(depth: int):
+    """An event's logfmt line in ``depth`` containers, docker and CRI by turns; all but the outermost are on stdout."""
+    line = F.expr(f"'level=info app=' || {R.SERVICE} || ' msg=\"step ' || {R.ID} || '\"'")
+    for k in range(depth):
+        stream = "stderr" if k == depth - 1 else "stdout"
+        if k % 2:
+            line = F.concat(F.expr(R.ISO), F.lit(f" {stream} F "), line)
+        else:
+            line = F.to_json(F.struct(F.concat(line, F.lit("\n")).alias("log"), F.lit(stream).alias("stream"), F.expr(R.ISO).alias("time")))
+    return line
+
+
+@query(
+    "parse_nested_containers",
+    f"""SELECT event_id, CASE WHEN event_id % {DEEPEST} % 2 = 0 THEN 'docker_json' ELSE 'cri' END AS source_type,
+    CASE WHEN event_id % {DEEPEST} % 2 = 0 THEN 'INFO' ELSE 'ERROR' END AS level, {R.SERVICE} AS service, 'step ' || {R.ID} AS message FROM events""",
+)
+def parse_nested_containers(spark, sf_dir):
+    """One to five containers; the level is raised by a CRI line on stderr only."""
+    case = F
+    for depth in range(1, DEEPEST + 1):
+        case = case.when(F.col("event_id") % DEEPEST == depth - 1, _boxed(depth))
+    rows = R.events(spark, sf_dir).withColumn("line", case)
+    configure(spark)
+    parsed = parse_records(records_from_rows(rows, "line", _all(), "event_id"))
+    return parsed.select(F.col("pos").alias("event_id"), "source_type", "level", "service", "message")
+
+
+@query("parse_docker_fields", f"SELECT event_id, 'stdout' AS stream, {R.SERVICE} AS inner_service, 't' || {R.ID} AS trace FROM events")
+def parse_docker_fields(spark, sf_dir):
+    """The outer object and the fields of the JSON inside."""
+    inner = F.to_json(F.struct(F.expr(R.SERVICE).alias("service"), F.expr(f"'t' || {R.ID}").alias("trace_id"), F.lit("x").alias("message")))
+    rows = R.events(spark, sf_dir).withColumn("line", F.to_json(F.struct(inner.alias("log"), F.lit("stdout").alias("stream"), F.expr(R.ISO).alias("time"))))
+    configure(spark)
+    parsed = parse_records(records_from_rows(rows, "line", _all(), "event_id"))
+    return parsed.select(
+        F.col("pos").alias("event_id"), F.try_variant_get("payload", "$.stream", "string").alias("stream"),
+        F.try_variant_get("inner_payload", "$.service", "string").alias("inner_service"), F.try_variant_get("inner_payload", "$.trace_id", "string").alias("trace"),
+    )

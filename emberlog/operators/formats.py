@@ -140,12 +140,16 @@ SOURCE_TYPES = (
     "postgres", "mysql", "redis", "java", "python", "plain",
 )
 FORCED_SHAPES = {"syslog": ("syslog_5424", "syslog_3164")}
+#: Containers that have projections of their own; what is nested deeper is unwrapped by a fold, however deep.
 UNWRAP_DEPTH = 2
+CONTAINER_MARK = r"log|std(?:out|err)"
 PARSED = ("message", "level", "service", "timestamp", "source_type", "fields")
 
 
 def parse_records(records: DataFrame, source_type: str = "auto") -> DataFrame:
-    """Add ``message, level, service, timestamp, source_type, fields, payload`` to ``records(raw, ...)``.
+    """Add ``message, level, service, timestamp, source_type, fields, payload, inner_payload`` to ``records(raw, ...)``.
+
+    ``payload`` is the JSON object of the record itself, ``inner_payload`` that of the innermost text of a container.
 
     Columns that later steps read more than once get a projection of their own, which keeps each generated method small.
     """
@@ -157,6 +161,7 @@ def parse_records(records: DataFrame, source_type: str = "auto") -> DataFrame:
         *keep,
         *[settled(_restored(c)).alias(c) for c in PARSED],
         settled(F.coalesce("__json0", "__json")).alias("payload"),
+        settled(F.when(F.col("__box0").isNotNull(), F.col("__json"))).alias("inner_payload"),
     )
 
 
@@ -171,8 +176,10 @@ def _write_steps(steps: Steps, source_type: str) -> None:
     add(steps, "__text0", S.clean(F.col("raw")))
     for depth in range(UNWRAP_DEPTH):
         _unwrap(steps, depth, source_type)
+    _unwrap_deeper(steps)
     _detect_innermost(steps, source_type)
     _read_innermost(steps)
+    _wrap_deeper(steps)
     for depth in reversed(range(UNWRAP_DEPTH)):
         _wrap(steps, depth)
 
@@ -182,15 +189,21 @@ def _write_steps(steps: Steps, source_type: str) -> None:
 
 def _with_json_object(df: Steps, name: str, line: Column, when: Column) -> Steps:
     """Add ``name``: the line as a variant if it is exactly one JSON object, else NULL."""
+    df = add(df, f"{name}_list", F.when(when, _as_list(line)))
+    return add(df, name, _only_object(line, F.col(f"{name}_list")))
+
+
+def _as_list(line: Column) -> Column:
     text = S.strip(line)
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    df = add(df, f"{name}_list", F.when(when & text.startswith("{") & text.endswith("}"), listed))
-    listed = F.col(f"{name}_list")
+    return F.when(text.startswith("{") & text.endswith("}"), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+
+
+def _only_object(line: Column, listed: Column) -> Column:
     # A stray bracket could close the list early; then the same text cannot close as an object member too.
-    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), S.strip(line), F.lit("}")))
     whole = ~line.contains("]") | keyed.isNotNull()
     alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return add(df, name, F.when(listed.isNotNull() & alone & whole, F.try_variant_get(listed, "$[0]", "variant")))
+    return F.when(listed.isNotNull() & alone & whole, F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def _has(payload: Column, key: str) -> Column:
@@ -228,6 +241,60 @@ def _unwrap(df: Steps, depth: int, source_type: str) -> Steps:
     return add(df, f"__text{depth + 1}", F.when(box.isNotNull(), S.clean(inner, inner=True)).otherwise(text))
 
 
+def _unwrap_deeper(df: Steps) -> Steps:
+    """Add ``__inmost``, the text within all containers, and ``__deep``: what containers below the static levels lay over it.
+
+    Each container's text holds a mark of its own, so their number bounds the fold. Rows without such containers skip it.
+    """
+    text = F.col(f"__text{UNWRAP_DEPTH}")
+    none = F.lit(None).cast("string")
+    start = F.struct(
+        text.alias("text"), F.lit(True).alias("live"), none.alias("label"), F.lit(False).alias("raised"), F.lit(False).alias("docker"),
+        F.lit(False).alias("stderr"), text.alias("around"), F.lit("").alias("tail"), F.lit(None).cast("array<string>").alias("cri"),
+    )
+
+    def step(state, _):
+        line = S.first_line(state["text"])
+        json = _only_object(line, _as_list(line))
+        docker = _has(json, "log") & (_has(json, "stream") | _has(json, "time"))
+        is_cri = json.isNull() & _starts_with_digit(line) & line.rlike(unicode_re(CRI))
+        cri = F.split(_layout_hit(line, CRI, "", ("$1", "$2", "$3", "$4")), MARK_OPEN, -1)
+        log = F.rtrim(F.coalesce(_text_at(json, "log"), F.lit("")), F.lit("\n"))
+        after = S.following_lines(state["text"], line)
+        next_ = F.struct(
+            S.clean(F.when(docker, log).otherwise(cri[3]), inner=True).alias("text"), F.lit(True).alias("live"),
+            F.coalesce(state["label"], F.when(docker, "docker_json").otherwise("cri")).alias("label"),
+            (state["raised"] | (~docker & (cri[1] == "stderr"))).alias("raised"), docker.alias("docker"),
+            (docker & (_text_at(json, "stream") == "stderr")).alias("stderr"), state["text"].alias("around"),
+            F.when(docker, state["tail"]).otherwise(F.concat(F.coalesce(F.concat(F.lit("\n"), after), F.lit("")), state["tail"])).alias("tail"),
+            F.coalesce(state["cri"], F.when(~docker, cri)).alias("cri"),
+        )
+        ended = state.withField("live", F.lit(False))
+        found = F.coalesce(docker, F.lit(False)) | F.coalesce(is_cri, F.lit(False))
+        return F.when(state["live"] & found, next_).when(state["live"], ended).otherwise(state)
+
+    marks = F.regexp_count(text, F.lit(CONTAINER_MARK))
+    inside = F.col(f"__box{UNWRAP_DEPTH - 1}").isNotNull() & (marks > 0)
+    df = add(df, "__deep", F.when(inside, F.aggregate(F.sequence(F.lit(1), marks), start, step)))
+    return add(df, "__inmost", F.coalesce(F.col("__deep.text"), text))
+
+
+def _wrap_deeper(df: Steps) -> Steps:
+    deep = F.col("__deep")
+    label, plain = deep["label"], F.coalesce(deep["docker"] & (F.col("__source_type") == "plain"), F.lit(False))
+    raised = (deep["raised"] | (plain & deep["stderr"])) & (F.col("__level") == "INFO")
+    message = F.when(plain, F.coalesce(S.null_if_empty(F.col("__inmost")), deep["around"])).otherwise(F.col("__message"))
+    names = F.array(*[F.lit(n) for n in ("timestamp", "stream", "flag", "message")])
+    return add(df, {
+            "__level": F.when(raised, "ERROR").otherwise(F.col("__level")),
+            "__service": F.when(~plain, F.col("__service")),
+            "__message": F.when(label.isNotNull(), F.concat(message, deep["tail"])).otherwise(F.col("__message")),
+            "__fields": F.when(deep["cri"].isNotNull(), F.map_from_arrays(names, deep["cri"])).otherwise(F.col("__fields")),
+            "__source_type": F.coalesce(label, F.col("__source_type")),
+        }
+    )
+
+
 def _wrap(df: Steps, depth: int) -> Steps:
     """Lay the container's own level, time and label over the parsed inner text."""
     text, line, json, box, cri = (F.col(f"__{c}{depth}") for c in ("text", "line", "json", "box", "cri"))
@@ -278,7 +345,7 @@ def _shape_chain(line: Column, names: tuple[str, ...] | None = None) -> Column:
 def _detect_innermost(df: Steps, source_type: str) -> Steps:
     """Add ``__json``, or ``__hit`` (the laid-out parts of a line shape), or ``__kv``; none of them means plain."""
     depth = UNWRAP_DEPTH
-    df = add(df, "__line", S.first_line(F.col(f"__text{depth}")))
+    df = add(df, "__line", S.first_line(F.col("__inmost")))
     line = F.col("__line")
     df = _with_json_object(df, "__deepest", line, F.col(f"__box{depth - 1}").isNotNull())
     known = [F.when(F.col(f"__box{d}").isNull(), F.col(f"__json{d}")) for d in range(depth)]
@@ -301,7 +368,7 @@ def _detect_innermost(df: Steps, source_type: str) -> Steps:
 
 def _read_innermost(df: Steps) -> Steps:
     """Read level, service, time, message and fields of the innermost text."""
-    text, line = F.col(f"__text{UNWRAP_DEPTH}"), F.col("__line")
+    text, line = F.col("__inmost"), F.col("__line")
     json, hit, kv = F.col("__json"), F.col("__hit"), F.col("__kv")
     shape = hit[0]
     by_json, by_shape, by_kv = json.isNotNull(), hit.isNotNull(), kv.isNotNull()
