@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import shuffle_parts, staged, text_of
 
 BITS, NEAR, WORDS, SEED = 64, 3, 3, 42
-#: Fingerprints of one kind in a block. Shingles hashed at a time.
-SIDE, CHUNK = 256, 50_000
+#: Fingerprints of one kind in a block. Shingles hashed, and entries made, at a time.
+SIDE, CHUNK, ENTRIES = 256, 50_000, 500_000
 #: Widest value that is counted exactly; wider partitions are estimated from the counts of their parts.
 COUNTED = 16
 INDEX, PROBE = 1, 2
@@ -192,14 +192,13 @@ class Plan:
                     values, base = self.values(fps, group), np.int64(p) << 60
                     for t in range(-1, NEAR + 1):
                         some = np.flatnonzero(limit[:, p] == t)
-                        if not len(some):
-                            continue
                         masks = self.masks[p, max(t, 0)]
-                        bucket = base | (values[some][:, None] ^ masks[None, :])
                         kind = np.where(masks == 0, INDEX | (PROBE if t >= 0 else 0), PROBE).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(bucket.reshape(-1)), pa.array(np.repeat(fps[some], len(masks))), pa.array(np.tile(kind, len(some)))], ["bucket", "fp", "kind"]
-                        )
+                        for part in np.array_split(some, -(-len(some) * len(masks) // ENTRIES)) if len(some) else ():
+                            bucket = base | (values[part][:, None] ^ masks[None, :])
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(bucket.reshape(-1)), pa.array(np.repeat(fps[part], len(masks))), pa.array(np.tile(kind, len(part)))], ["bucket", "fp", "kind"]
+                            )
 
 
 def plan_of(distinct: DataFrame) -> Plan:
