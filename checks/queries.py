@@ -378,8 +378,7 @@ def rca_summary(spark, sf_dir):
 def source_breakdown(spark, sf_dir):
     """Counts by source type in display order; at most fourteen rows are ranked."""
     counts = analyze(_records(spark, sf_dir), examples=False).source_types
-    order = F.row_number().over(G.Window.partitionBy("scope").orderBy(F.desc("n"), "source_type"))
-    return counts.select(order.alias("rank"), "source_type", "n")
+    return G.breakdown(counts, "source_type").drop("scope")
 
 
 @query(

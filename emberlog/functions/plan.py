@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,7 +33,9 @@ def add(target: DataFrame | Steps, columns: str | dict[str, Column], col: Column
     return target.withColumns(named)
 
 
-_written: dict[tuple, Steps] = {}
+#: Step lists kept for a session; the oldest goes first.
+KEPT_STEPS = 64
+_written: weakref.WeakKeyDictionary[SparkSession, dict[tuple, Steps]] = weakref.WeakKeyDictionary()
 
 
 def replay(df: DataFrame, write: Callable[..., None], *args) -> DataFrame:
@@ -40,11 +43,13 @@ def replay(df: DataFrame, write: Callable[..., None], *args) -> DataFrame:
 
     Building a few thousand column expressions takes seconds of talk with the JVM, so they are kept for the session.
     """
-    key = (id(df.sparkSession.sparkContext), write, args)
-    if key not in _written:
+    kept, key = _written.setdefault(df.sparkSession, {}), (write, args)
+    if key not in kept:
         steps = Steps()
         write(steps, *args)
-        _written[key] = steps
-    for step in _written[key]:
+        kept[key] = steps
+        if len(kept) > KEPT_STEPS:
+            kept.pop(next(iter(kept)))
+    for step in kept[key]:
         df = df.withColumns(step)
     return df

@@ -10,7 +10,7 @@ from emberlog.operators import classify as C
 from emberlog.operators import groups as G
 from emberlog.operators.formats import parse_records
 from emberlog.operators.summary import summary
-from emberlog.session import configure
+from emberlog.session import configure, staged
 from emberlog.sources.rules import Rule, load_rules
 
 MIN_GROUPS, MAX_GROUPS, DEFAULT_GROUPS = 1, 50, 10
@@ -45,9 +45,17 @@ def analyze(
 
 
 def from_stats(
-    stats: DataFrame, patterned: DataFrame | None, max_groups: int = DEFAULT_GROUPS, rules: list[Rule] | None = None
+    stats: DataFrame,
+    patterned: DataFrame | None,
+    max_groups: int = DEFAULT_GROUPS,
+    rules: list[Rule] | None = None,
+    top_first: bool = False,
 ) -> Analysis:
-    """All results from the pattern counts; the records are read again only for examples."""
+    """All results from the pattern counts; the records are read again only for examples.
+
+    With ``top_first``, for counts that are written already, the top groups are found and written first, and only their records
+    compete to be examples; else examples of all groups are ranked in one lazy plan.
+    """
     if not MIN_GROUPS <= max_groups <= MAX_GROUPS:
         raise ValueError(f"max_groups must be between {MIN_GROUPS} and {MAX_GROUPS}")
     rules = load_rules() if rules is None else rules
@@ -55,6 +63,9 @@ def from_stats(
     top = C.classify(G.ranked(groups, max_groups), rules)
     columns = ["scope", "rank", "pattern", "count", "level", "service", "source_type", "classification"]
     if patterned is not None:
+        if top_first:
+            top = staged(top, "top-groups")
+            patterned = G.of_groups(patterned, top)
         top = G.with_examples(top.select("pattern_key", *columns), G.group_examples(patterned))
         columns.append("examples")
     return Analysis(

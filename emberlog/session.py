@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Let the last of equal JSON keys win, as JSON readers commonly do."""
+    """Let the last of equal JSON keys win, as JSON readers commonly do. The setting stays for the whole session."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
 

@@ -25,12 +25,12 @@ def write_analysis(
     """Analyse and write all results under ``path`` as Parquet.
 
     The pattern counts are written first and read back, so the records are parsed once for all results and once more for
-    the examples. A lost executor costs its tasks, not the run.
+    the examples, for which only records of the top groups compete. A lost executor costs its tasks, not the run.
     """
     spark = configure(records.sparkSession)
     patterned = with_pattern(parse_records(records, source_type))
     pattern_stats(patterned).write.mode("overwrite").parquet(f"{path}/pattern_stats")
-    result = from_stats(spark.read.parquet(f"{path}/pattern_stats"), patterned, max_groups, rules)
+    result = from_stats(spark.read.parquet(f"{path}/pattern_stats"), patterned, max_groups, rules, top_first=True)
     for name in RESULTS:
         getattr(result, name).write.mode("overwrite").parquet(f"{path}/{name}")
     return result

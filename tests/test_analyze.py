@@ -152,6 +152,19 @@ def test_group_ties_service_and_cut(spark):
         analyze(text_records(spark, text), max_groups=51)
 
 
+def test_stream_of_whole_records(spark, tmp_path):
+    from emberlog.streaming.records import parse_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("level=error app=dock msg=\"arm 1234 stuck\"\n[x] INFO fine\n")
+    configure(spark)
+    stream = spark.readStream.text(str(tmp_path / "in")).withColumnRenamed("value", "raw")
+    out = parse_stream(stream).select("source_type", "level", "is_error", "pattern")
+    out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    rows = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert rows[0] == ("logfmt", "ERROR", True, "arm <NUMBER> stuck") and rows[1][2] is False
+
+
 def test_scopes_are_apart_and_empty_input(spark):
     result = analyze(text_records(spark, "ERROR a", "ERROR b\nINFO fine", " \n"))
     rows = {r.scope: r for r in result.summary.collect()}
