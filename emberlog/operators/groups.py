@@ -15,8 +15,6 @@ from emberlog.functions.patterns import is_error_event, write_normalized
 from emberlog.functions.plan import Steps, add, replay
 from emberlog.functions.text import null_if_empty
 
-#: Characters of group keys that are broadcast.
-BROADCAST_CHARS = 8_000_000
 EXAMPLES_KEPT = 3
 
 
@@ -77,15 +75,6 @@ def ranked(groups: DataFrame, limit: int | None) -> DataFrame:
     return out if limit is None else out.where(F.col("rank") <= limit)
 
 
-def of_groups(patterned: DataFrame, groups: DataFrame) -> DataFrame:
-    """The records of ``groups``, a written table: its keys are broadcast while they are few, else joined by shuffle."""
-    keys = groups.select(F.col("scope").alias("__scope"), F.col("pattern_key").alias("__key"))
-    small = groups.agg(F.coalesce(F.sum(F.length("scope") + F.length("pattern_key")), F.lit(0))).first()[0] <= BROADCAST_CHARS
-    return patterned.join(
-        F.broadcast(keys) if small else keys, (F.col("scope") == F.col("__scope")) & (F.lower("pattern") == F.col("__key")), "left_semi"
-    )
-
-
 def group_examples(patterned: DataFrame) -> DataFrame:
     """The first three records of each group; each task ships at most three per group."""
     order = Window.partitionBy("scope", "pattern_key").orderBy("pos")
