@@ -134,7 +134,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "mixture")
 
 
-def with_language(docs: DataFrame, least: float = 0.45, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def with_language(docs: DataFrame, least: float = 0.25, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are in some language: its share is ``least`` or more. The texts are read once, keys do not matter."""
     languages, likelihood = learn(docs, F.lit(True), text, lang, key)
 
