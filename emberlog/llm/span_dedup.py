@@ -5,14 +5,14 @@ A byte goes where a string of 50 bytes covers it that also starts in a document
 1. *Per shard* (some megabytes of neighbouring documents) a suffix array, by Larsson-Sadakane refinement, and its common prefixes,
    by Kasai, show every window of 50 bytes that repeats within the shard. Only the windows left go on.
 2. *Across shards* windows meet by anchors, the grams with the least hash in each window: equal windows have equal anchors, one for
-   about 18 bytes. A shard sorts its anchors, cuts the sorted run into ranges of the hash by binary search and sends each range to
+   about 20 bytes. A shard sorts its anchors, cuts the sorted run into ranges of the hash by binary search and sends each range to
    its task, where the runs are merged. An anchor whose whole surroundings also occur under a smaller key is settled: all windows
    around it repeat. Where surroundings differ, the edge of a repeat may lie inside; the anchor is returned to its document.
 3. The windows around returned anchors are hashed and merged across shards in the same way, window by window.
 4. Each document joins what was found for it.
 
 A suffix array of everything, merged suffix by suffix, would move tens of bytes for each byte of text; step 2 moves about one.
-Hashes have 112 bits or more. Nothing is collected; a range holds a bounded share of the sorted hashes, and a shard sends what it
+Hashes have 80 bits or more. Nothing is collected; a range holds a bounded share of the sorted hashes, and a shard sends what it
 repeats within itself only once.
 
 Defined results: null text counts as empty; a null key is larger than all others; rows that repeat a key do not remove each other's
@@ -33,11 +33,15 @@ from pyspark.sql import functions as F
 from emberlog.llm import suffixes as S
 from emberlog.llm.common import shuffle_parts, staged, text_of
 
-#: Bytes of text in a shard; ranges for each shuffle partition.
-SHARD, RANGES = 4_000_000, 4
+#: Bytes of text in a shard, and in one whose unclear windows are sent; ranges for each shuffle partition.
+SHARD, WINDOW_SHARD, RANGES = 4_000_000, 16_000_000, 4
+#: Texts that the dictionary of the exchange is trained on.
+DICTIONARY_TEXTS = 2000
 LAST = (1 << 63) - 1
-#: Columns of a sent item: hash, context, key, tag of the row, place in the document.
-ITEM = np.dtype([("h", "<u8"), ("c", "<u8"), ("ord", "<i8"), ("tag", "<u2"), ("at", "<u4")])
+#: Columns of a sent item: hash, hash of the surroundings and of their two parts, key, tag of the row, place in the document.
+ITEM = np.dtype([("h", "<u8"), ("c", "<u2"), ("a", "<u2"), ("b", "<u2"), ("ord", "<i8"), ("tag", "<u2"), ("at", "<u4")])
+#: Bits of a hash that are sent; the ranges are cut by its upper ones.
+SENT_BITS = 48
 
 
 def _pack(items: np.ndarray) -> bytes:
@@ -88,9 +92,12 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield np.array(ords, np.int64), np.array(tags, np.uint16), texts
 
 
-def _items(h: np.ndarray, c: np.ndarray, ords: np.ndarray, tags: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _items(hashes: tuple, ords: np.ndarray, tags: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
     owner, out = S.owners(starts, at), np.empty(len(at), ITEM)
-    out["h"], out["c"], out["ord"], out["tag"], out["at"] = h, c, ords[owner], tags[owner], at - starts[owner]
+    for name, values in zip("hcab", hashes, strict=True):
+        out[name] = values
+    out["h"] &= np.uint64((1 << 64) - (1 << (64 - SENT_BITS)))
+    out["ord"], out["tag"], out["at"] = ords[owner], tags[owner], at - starts[owner]
     return out
 
 
@@ -102,13 +109,13 @@ def _anchor_sender(ranges: int):
             repeated = S.repeated_windows(buffer, starts, wanted, ords)
             wanted[repeated] = False
             at, h = S.anchors(buffer, wanted)
-            yield _sent(list(_ranges(_items(h, S.contexts(buffer, starts, ends, at), ords, tags, starts, at), ranges)), "anchor")
+            yield _sent(list(_ranges(_items((h, *S.contexts(buffer, starts, ends, at)), ords, tags, starts, at), ranges)), "anchor")
             # what repeats within the shard is settled: runs of windows go along as they are, dealt over the ranges
             repeated = np.sort(repeated)
             if len(repeated):
                 first = np.flatnonzero(np.append(True, np.diff(repeated) > 1))
                 length = np.diff(np.append(first, len(repeated)))
-                runs = _items(np.zeros(len(first), np.uint64), length.astype(np.uint64), ords, tags, starts, repeated[first])
+                runs = _items((length.astype(np.uint64) << np.uint64(64 - SENT_BITS), 0, 0, 0), ords, tags, starts, repeated[first])
                 yield _sent([(int(ords[0]) % ranges, _pack(runs))], "settled")
 
     return send
@@ -141,61 +148,104 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             held[kind].append(_unpack(data))
     for runs in held["settled"]:
-        yield from _spans("settled", runs, 0, runs["c"].astype(np.int64) + S.SPAN - 1)
+        yield from _spans("settled", runs, 0, (runs["h"] >> np.uint64(64 - SENT_BITS)).astype(np.int64) + S.SPAN - 1)
     for kind in ("anchor", "window"):
         if not held[kind]:
             continue
         items = np.concatenate(held.pop(kind))
-        items = items[np.lexsort((items["ord"], items["c"], items["h"]))]
-        other = np.append(True, items["h"][1:] != items["h"][:-1])
-        new = other | np.append(True, items["c"][1:] != items["c"][:-1])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(items)))
-        least = np.repeat(items["ord"][first], size)
+        items = items[np.lexsort((items["ord"], items["c"], items["b"], items["a"], items["h"]))]
+        first = np.flatnonzero(_new(items, "habc"))
+        least = np.repeat(items["ord"][first], np.diff(np.append(first, len(items))))
         later = items["ord"] > least
         yield from _spans("settled", items[later], S.LEFT if kind == "anchor" else 0, S.SPAN)
         if kind == "anchor":
-            head = np.flatnonzero(other)
-            group = np.diff(np.append(head, len(items)))
-            low, high = np.minimum.reduceat(items["ord"], head), np.maximum.reduceat(items["ord"], head)
-            contexts = np.add.reduceat(new.astype(np.int64), head)
-            unclear = np.repeat((contexts > 1) & (low < high), group) & ~later
-            yield from _spans("unclear", items[unclear], S.LEFT, S.SPAN)
+            # half of the windows around an anchor hold part a whole, the others part b: they can repeat only where that does
+            items = items[~later]
+            yield from _spans("unclear", items[_shared(items, "ha")], S.HALF, S.SPAN)
+            items = items[np.lexsort((items["b"], items["h"]))]
+            yield from _spans("unclear", items[_shared(items, "hb")], S.LEFT, S.SPAN - S.HALF)
 
 
-def _window_sender(ranges: int):
+def _new(items: np.ndarray, names: str) -> np.ndarray:
+    """Where sorted items differ from the one before in one of the columns."""
+    differ = np.zeros(max(0, len(items) - 1), bool)
+    for name in names:
+        differ |= items[name][1:] != items[name][:-1]
+    return np.append(np.ones(min(1, len(items)), bool), differ)
+
+
+def _shared(items: np.ndarray, names: str) -> np.ndarray:
+    """Items whose columns equal those of an item of another key."""
+    first = np.flatnonzero(_new(items, names))
+    if not len(first):
+        return np.zeros(0, bool)
+    size = np.diff(np.append(first, len(items)))
+    return np.repeat(np.minimum.reduceat(items["ord"], first) < np.maximum.reduceat(items["ord"], first), size)
+
+
+def _window_sender(ranges: int, packer: Packer):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ords, tags, texts, marks, size = [], [], [], [], 0
+        unpack = packer.unpacker()
 
-        def shard() -> pa.RecordBatch:
+        def shard() -> Iterator[pa.RecordBatch]:
             buffer, starts, ends = S.join_texts(texts)
             near = np.zeros(len(buffer), bool)
             for start, end, spans in zip(starts, ends, marks, strict=True):
                 near[start:end] = S.covered(end - start, spans[:, 0], spans[:, 1] - S.SPAN + 1)
             at = np.flatnonzero(near & S.window_starts(starts, ends, len(buffer)))
-            h, c = S.span_hash(buffer, at, S.SPAN, 17), S.span_hash(buffer, at, S.SPAN, 23) >> np.uint64(16)
-            items = _items(h, c, np.array(ords, np.int64), np.array(tags, np.uint16), starts, at)
-            return _sent(list(_ranges(items, ranges)), "window")
+            h, more = S.span_hash(buffer, at, S.SPAN, 17), S.span_hash(buffer, at, S.SPAN, 23)
+            hashes = (h, more >> np.uint64(48), more & np.uint64(0xFFFF), 0)
+            items = _items(hashes, np.array(ords, np.int64), np.array(tags, np.uint16), starts, at)
+            items = items[np.lexsort((items["ord"], items["a"], items["c"], items["h"]))]
+            first = np.flatnonzero(_new(items, "hca"))
+            later = items["ord"] > np.repeat(items["ord"][first], np.diff(np.append(first, len(items))))
+            yield _sent(list(_ranges(items[~later], ranges)), "window")
+            if later.any():  # a smaller key holds the window in this shard: settled, as a run of one
+                own = items[later]
+                own["h"] = np.uint64(1 << (64 - SENT_BITS))
+                yield _sent([(int(ords[0]) % ranges, _pack(own))], "settled")
 
         for batch in batches:
             for ord_, tag, packed, blobs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                ords.append(ord_), tags.append(tag), texts.append(zstandard.ZstdDecompressor().decompress(packed))
+                ords.append(ord_), tags.append(tag), texts.append(unpack(packed))
                 marks.append(np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2))
                 size += len(texts[-1])
-                if size >= SHARD:
-                    yield shard()
+                if size >= WINDOW_SHARD:
+                    yield from shard()
                     ords, tags, texts, marks, size = [], [], [], [], 0
         if texts:
-            yield shard()
+            yield from shard()
 
     return send
 
 
-def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        packed = [pack.compress(text.as_py().encode("utf-8", "surrogatepass")) for text in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), batch.column(3)], ["ord", "tag", "packed", "key"])
+class Packer:
+    """Short texts are compressed with a dictionary of what sampled texts have in common."""
+
+    def __init__(self, dictionary: bytes):
+        self.dictionary = dictionary
+
+    def _held(self) -> dict:
+        return {"dict_data": zstandard.ZstdCompressionDict(self.dictionary)} if self.dictionary else {}
+
+    def pack(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3, **self._held())
+        for batch in batches:
+            packed = [packer.compress(text.as_py().encode("utf-8", "surrogatepass")) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), batch.column(3)], ["ord", "tag", "packed", "key"])
+
+    def unpacker(self):
+        return zstandard.ZstdDecompressor(**self._held()).decompress
+
+
+def packer_for(docs: DataFrame, text: str) -> Packer:
+    """A dictionary of 64 KB from the beginnings of some texts: it only makes the exchange smaller."""
+    some = docs.select(F.substring(text_of(docs[text]), 1, 2000).alias("t")).where(F.length("t") > 100).limit(DICTIONARY_TEXTS).collect()
+    try:
+        return Packer(zstandard.train_dictionary(65_536, [r.t.encode("utf-8", "surrogatepass") for r in some]).as_bytes())
+    except zstandard.ZstdError:  # too few texts to train on
+        return Packer(b"")
 
 
 def removed_mask(n: int, blobs: list[bytes] | None) -> np.ndarray:
@@ -203,18 +253,21 @@ def removed_mask(n: int, blobs: list[bytes] | None) -> np.ndarray:
     return S.covered(n, spans[:, 0], spans[:, 1])
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        rows = []
-        for packed, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            text = np.frombuffer(unpack.decompress(packed), np.uint8)
-            gone = removed_mask(len(text), blobs)
-            edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-            begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            rows.append((len(text), int(gone.sum()), len(begin), hashlib.sha256(text[~gone].tobytes()).hexdigest(), np.stack([begin, end], axis=1).tolist()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+def _finisher(packer: Packer):
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = packer.unpacker()
+        for batch in batches:
+            rows = []
+            for packed, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text = np.frombuffer(unpack(packed), np.uint8)
+                gone = removed_mask(len(text), blobs)
+                edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
+                begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                rows.append((len(text), int(gone.sum()), len(begin), hashlib.sha256(text[~gone].tobytes()).hexdigest(), np.stack([begin, end], axis=1).tolist()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+    return finish
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> tuple[Column, Column, Column]:
@@ -222,7 +275,7 @@ def _keyed(docs: DataFrame, key: str, text: str) -> tuple[Column, Column, Column
     return F.coalesce(docs[key].cast("long"), F.lit(LAST)).alias("ord"), F.pmod(F.xxhash64(body), F.lit(1 << 16)).cast("int").alias("tag"), body.alias("text")
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, packer: Packer, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``ord, tag, spans``: what was found for each document, as overlapping spans, perhaps in several rows."""
     parts = shuffle_parts(docs.sparkSession)
     ranges = RANGES * parts
@@ -233,24 +286,25 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     first = merged(rows.mapInArrow(_anchor_sender(ranges), SENT), "anchors")
     unclear = first.where(F.col("kind") == "unclear").groupBy("ord", "tag").agg(F.collect_list("spans").alias("marks"))
-    asked = packed_texts(docs, key, text).join(unclear, ["ord", "tag"]).select("ord", "tag", "packed", "marks")
-    second = merged(asked.mapInArrow(_window_sender(ranges), SENT), "windows")
+    asked = packed_texts(docs, packer, key, text).join(unclear, ["ord", "tag"]).select("ord", "tag", "packed", "marks")
+    second = merged(asked.mapInArrow(_window_sender(ranges, packer), SENT), "windows")
     return first.where(F.col("kind") == "settled").unionByName(second).select("ord", "tag", "spans")
 
 
-def packed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+def packed_texts(docs: DataFrame, packer: Packer, key: str, text: str) -> DataFrame:
     """The texts, compressed for the exchange by document."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(*_keyed(docs, key, text), docs[key].alias("key")).mapInArrow(_compress, f"ord long, tag int, packed binary, key {kind}")
+    return docs.select(*_keyed(docs, key, text), docs[key].alias("key")).mapInArrow(packer.pack, f"ord long, tag int, packed binary, key {kind}")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``<key>, n_bytes, n_removed, n_spans, kept_sha256, spans``; spans are the removed runs, begin and end."""
-    found = repeated_spans(docs, key, text).groupBy("ord", "tag").agg(F.collect_list("spans").alias("found"))
+    packer = packer_for(docs, text)
+    found = repeated_spans(docs, packer, key, text).groupBy("ord", "tag").agg(F.collect_list("spans").alias("found"))
     kind = docs.schema[key].dataType.simpleString()
-    joined = packed_texts(docs, key, text).join(found, ["ord", "tag"], "left").select("key", "packed", "found")
+    joined = packed_texts(docs, packer, key, text).join(found, ["ord", "tag"], "left").select("key", "packed", "found")
     schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
-    return joined.mapInArrow(_finish, schema).withColumnRenamed("key", key)
+    return joined.mapInArrow(_finisher(packer), schema).withColumnRenamed("key", key)
 
 
 def removals(docs: DataFrame) -> DataFrame:

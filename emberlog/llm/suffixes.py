@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 #: Length of a repeat; bytes of an anchor's gram; zero bytes between the documents of a shard, enough for an anchor's context.
-SPAN, GRAM, GAP = 50, 16, 64
-#: Bytes before an anchor that a window around it can reach.
+SPAN, GRAM, GAP = 50, 12, 64
+#: Bytes before an anchor that a window around it can reach, and half of them: every window around an anchor holds all bytes from the
+#: anchor to ``SPAN - HALF`` after it, or all from ``HALF`` before it to its gram's end.
 LEFT = SPAN - GRAM
+HALF = LEFT // 2
 
 
 def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +154,7 @@ def anchors(buffer: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
     """
     n = len(buffer) - GAP
     words = words_at(buffer, n + 8)
-    grams = mixed(words[:n] + mixed(words[8 : n + 8])) | np.uint64(1)  # 0 stands for no window
+    grams = mixed(words[:n] + mixed(words[GRAM - 8 : n + GRAM - 8])) | np.uint64(1)  # 0 stands for no window
     least = _slide(grams, LEFT + 1, np.minimum)
     least[~wanted[:n]] = 0
     most = _slide(least[::-1], LEFT + 1, np.maximum)[::-1]
@@ -160,12 +162,13 @@ def anchors(buffer: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, grams[at]
 
 
-def contexts(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 48-bit hash of all that windows around each anchor can see: the bytes from ``LEFT`` before to ``SPAN`` after, within its document."""
+def contexts(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of what windows around each anchor can see, 32 bits of all of it (``LEFT`` before to ``SPAN`` after, within the
+    document) and 16 bits of either part that half of the windows hold whole."""
     owner = owners(starts, at)
     left, right = np.minimum(at - starts[owner], LEFT), np.minimum(ends[owner] - at, SPAN)
-    seen = span_hash(buffer, at - LEFT, LEFT + SPAN, 5)
-    return mixed(seen + (left * 64 + right).astype(np.uint64)) >> np.uint64(16)
+    seen = mixed(span_hash(buffer, at - LEFT, LEFT + SPAN, 5) + (left * 64 + right).astype(np.uint64)) >> np.uint64(32)
+    return seen, span_hash(buffer, at, SPAN - HALF, 7) >> np.uint64(48), span_hash(buffer, at - HALF, HALF + GRAM, 9) >> np.uint64(48)
 
 
 def covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
