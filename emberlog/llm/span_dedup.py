@@ -46,17 +46,17 @@ SENT_BITS = 48
 
 def _pack(items: np.ndarray) -> bytes:
     """The columns' byte planes, compressed; sorted hashes share their upper bytes."""
-    planes = [np.ascontiguousarray(items[name]).view(np.uint8).reshape(len(items), -1).T.tobytes() for name in ITEM.names]
+    planes = [np.ascontiguousarray(items[name]).view(np.uint8).reshape(len(items), -1).T.tobytes() for name in items.dtype.names]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def _unpack(data: bytes) -> np.ndarray:
+def _unpack(data: bytes, kind: np.dtype = ITEM) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n, at = len(raw) // ITEM.itemsize, 0
-    items = np.empty(n, ITEM)
-    for name in ITEM.names:
-        size = ITEM[name].itemsize
-        items[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(ITEM[name])
+    n, at = len(raw) // kind.itemsize, 0
+    items = np.empty(n, kind)
+    for name in kind.names:
+        size = kind[name].itemsize
+        items[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(kind[name])
         at += n * size
     return items
 
@@ -121,34 +121,59 @@ def _anchor_sender(ranges: int):
     return send
 
 
-def _spans(kind: str, items: np.ndarray, before: int, after: np.ndarray | int) -> Iterator[pa.RecordBatch]:
-    """``ord, tag, kind, spans`` by document; spans are pairs of places."""
+#: Columns of a found span: key, tag of the row, begin and end in the document.
+SPAN_ITEM = np.dtype([("ord", "<i8"), ("tag", "<u2"), ("begin", "<i4"), ("end", "<i4")])
+FOUND = "bucket int, kind string, spans binary"
+
+
+def _spans(kind: str, items: np.ndarray, before: int, after: np.ndarray | int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Spans around items, packed by buckets of documents: as many rows as there are buckets, however many documents."""
     if not len(items):
         return
-    by = np.lexsort((items["at"], items["tag"], items["ord"]))
-    items, after = items[by], (after[by] if isinstance(after, np.ndarray) else after)
-    spans = np.stack([items["at"].astype(np.int64) - before, items["at"].astype(np.int64) + after], axis=1).astype("<i8")
-    new = np.append(True, (items["ord"][1:] != items["ord"][:-1]) | (items["tag"][1:] != items["tag"][:-1]))
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(items))
-    for at in range(0, len(first), 5000):
+    spans = np.empty(len(items), SPAN_ITEM)
+    spans["ord"], spans["tag"] = items["ord"], items["tag"]
+    spans["begin"], spans["end"] = items["at"].astype(np.int64) - before, items["at"].astype(np.int64) + after
+    bucket = (S.mixed(spans["ord"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64) if len(spans) else None
+    by = np.lexsort((spans["begin"], spans["ord"], bucket))
+    spans, bucket = spans[by], bucket[by]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    blobs = [_pack(part) for part in np.split(spans, first[1:])]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array([kind] * len(blobs)), pa.array(blobs, pa.binary())], ["bucket", "kind", "spans"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document with its spans, those that touch joined."""
+    held = [_unpack(data, SPAN_ITEM) for batch in batches for data in batch.column(2).to_pylist()]
+    if not held:
+        return
+    spans = np.concatenate(held)
+    spans = spans[np.lexsort((spans["begin"], spans["tag"], spans["ord"]))]
+    new = np.append(True, (spans["ord"][1:] != spans["ord"][:-1]) | (spans["tag"][1:] != spans["tag"][:-1]))
+    document = np.cumsum(new) - 1
+    # ends so far within a document, by a running maximum over ends lifted by the document's number
+    lift = document * np.int64(1 << 32)
+    reach = np.maximum.accumulate(spans["end"].astype(np.int64) + lift) - lift
+    apart = new | np.append(True, spans["begin"][1:] > reach[:-1])
+    first = np.flatnonzero(apart)
+    last = np.append(first[1:], len(spans)) - 1
+    runs = np.stack([spans["begin"][first].astype("<i4"), reach[last].astype("<i4")], axis=1)
+    heads = np.flatnonzero(new[first])
+    ends = np.append(heads[1:], len(first))
+    for at in range(0, len(heads), 5000):
         some = slice(at, at + 5000)
-        blobs = [spans[a:b].tobytes() for a, b in zip(first[some], last[some], strict=True)]
-        columns = [pa.array(items["ord"][first[some]]), pa.array(items["tag"][first[some]].astype(np.int32)), pa.array([kind] * len(blobs)), pa.array(blobs, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["ord", "tag", "kind", "spans"])
+        own = first[heads[some]]
+        blobs = [runs[a:b].tobytes() for a, b in zip(heads[some], ends[some], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(spans["ord"][own]), pa.array(spans["tag"][own].astype(np.int32)), pa.array(blobs, pa.binary())], ["ord", "tag", "spans"])
 
 
-FOUND = "ord long, tag int, kind string, spans binary"
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Merge the sorted runs of a range. Anchors: settled spans and, where surroundings differ, anchors to return. Windows: settled spans."""
     held: dict[str, list[np.ndarray]] = {"anchor": [], "window": [], "settled": []}
     for batch in batches:
         for kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             held[kind].append(_unpack(data))
     for runs in held["settled"]:
-        yield from _spans("settled", runs, 0, (runs["h"] >> np.uint64(64 - SENT_BITS)).astype(np.int64) + S.SPAN - 1)
+        yield from _spans("settled", runs, 0, (runs["h"] >> np.uint64(64 - SENT_BITS)).astype(np.int64) + S.SPAN - 1, buckets)
     for kind in ("anchor", "window"):
         if not held[kind]:
             continue
@@ -157,13 +182,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(_new(items, "habc"))
         least = np.repeat(items["ord"][first], np.diff(np.append(first, len(items))))
         later = items["ord"] > least
-        yield from _spans("settled", items[later], S.LEFT if kind == "anchor" else 0, S.SPAN)
+        yield from _spans("settled", items[later], S.LEFT if kind == "anchor" else 0, S.SPAN, buckets)
         if kind == "anchor":
-            # half of the windows around an anchor hold part a whole, the others part b: they can repeat only where that does
+            # an unclear span is one of window starts: half of the windows around an anchor hold part a whole, the others part b: they can repeat only where that does
             items = items[~later]
-            yield from _spans("unclear", items[_shared(items, "ha")], S.HALF, S.SPAN)
+            yield from _spans("unclear", items[_shared(items, "ha")], S.HALF, 1, buckets)
             items = items[np.lexsort((items["b"], items["h"]))]
-            yield from _spans("unclear", items[_shared(items, "hb")], S.LEFT, S.SPAN - S.HALF)
+            yield from _spans("unclear", items[_shared(items, "hb")], S.LEFT, 1 - S.HALF, buckets)
 
 
 def _new(items: np.ndarray, names: str) -> np.ndarray:
@@ -192,7 +217,7 @@ def _window_sender(ranges: int, packer: Packer):
             buffer, starts, ends = S.join_texts(texts)
             near = np.zeros(len(buffer), bool)
             for start, end, spans in zip(starts, ends, marks, strict=True):
-                near[start:end] = S.covered(end - start, spans[:, 0], spans[:, 1] - S.SPAN + 1)
+                near[start:end] = S.covered(end - start, spans[:, 0], spans[:, 1])
             at = np.flatnonzero(near & S.window_starts(starts, ends, len(buffer)))
             h, more = S.span_hash(buffer, at, S.SPAN, 17), S.span_hash(buffer, at, S.SPAN, 23)
             hashes = (h, more >> np.uint64(48), more & np.uint64(0xFFFF), 0)
@@ -207,9 +232,9 @@ def _window_sender(ranges: int, packer: Packer):
                 yield _sent([(int(ords[0]) % ranges, _pack(own))], "settled")
 
         for batch in batches:
-            for ord_, tag, packed, blobs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for ord_, tag, packed, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 ords.append(ord_), tags.append(tag), texts.append(unpack(packed))
-                marks.append(np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2))
+                marks.append(np.frombuffer(blob, "<i4").reshape(-1, 2))
                 size += len(texts[-1])
                 if size >= WINDOW_SHARD:
                     yield from shard()
@@ -248,8 +273,8 @@ def packer_for(docs: DataFrame, text: str) -> Packer:
         return Packer(b"")
 
 
-def removed_mask(n: int, blobs: list[bytes] | None) -> np.ndarray:
-    spans = np.frombuffer(b"".join(blobs or []), "<i8").reshape(-1, 2)
+def removed_mask(n: int, blob: bytes | None) -> np.ndarray:
+    spans = np.frombuffer(blob or b"", "<i4").reshape(-1, 2)
     return S.covered(n, spans[:, 0], spans[:, 1])
 
 
@@ -258,9 +283,9 @@ def _finisher(packer: Packer):
         unpack = packer.unpacker()
         for batch in batches:
             rows = []
-            for packed, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for packed, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = np.frombuffer(unpack(packed), np.uint8)
-                gone = removed_mask(len(text), blobs)
+                gone = removed_mask(len(text), blob)
                 edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
                 begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                 rows.append((len(text), int(gone.sum()), len(begin), hashlib.sha256(text[~gone].tobytes()).hexdigest(), np.stack([begin, end], axis=1).tolist()))
@@ -276,19 +301,22 @@ def _keyed(docs: DataFrame, key: str, text: str) -> tuple[Column, Column, Column
 
 
 def repeated_spans(docs: DataFrame, packer: Packer, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``ord, tag, spans``: what was found for each document, as overlapping spans, perhaps in several rows."""
+    """``ord, tag, spans``: what was found for each document, as pairs of begin and end."""
     parts = shuffle_parts(docs.sparkSession)
     ranges = RANGES * parts
     rows = docs.select(*_keyed(docs, key, text))
 
     def merged(sent: DataFrame, name: str) -> DataFrame:
-        return staged(sent.repartition(parts, "range").mapInArrow(_merge, FOUND), name)
+        return staged(sent.repartition(parts, "range").mapInArrow(lambda batches: _merge(batches, ranges), FOUND), name)
+
+    def gathered(found: DataFrame) -> DataFrame:
+        return found.repartition(parts, "bucket").mapInArrow(_gather, "ord long, tag int, spans binary")
 
     first = merged(rows.mapInArrow(_anchor_sender(ranges), SENT), "anchors")
-    unclear = first.where(F.col("kind") == "unclear").groupBy("ord", "tag").agg(F.collect_list("spans").alias("marks"))
+    unclear = gathered(first.where(F.col("kind") == "unclear")).withColumnRenamed("spans", "marks")
     asked = packed_texts(docs, packer, key, text).join(unclear, ["ord", "tag"]).select("ord", "tag", "packed", "marks")
     second = merged(asked.mapInArrow(_window_sender(ranges, packer), SENT), "windows")
-    return first.where(F.col("kind") == "settled").unionByName(second).select("ord", "tag", "spans")
+    return gathered(first.where(F.col("kind") == "settled").unionByName(second))
 
 
 def packed_texts(docs: DataFrame, packer: Packer, key: str, text: str) -> DataFrame:
@@ -300,7 +328,7 @@ def packed_texts(docs: DataFrame, packer: Packer, key: str, text: str) -> DataFr
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``<key>, n_bytes, n_removed, n_spans, kept_sha256, spans``; spans are the removed runs, begin and end."""
     packer = packer_for(docs, text)
-    found = repeated_spans(docs, packer, key, text).groupBy("ord", "tag").agg(F.collect_list("spans").alias("found"))
+    found = repeated_spans(docs, packer, key, text).withColumnRenamed("spans", "found")
     kind = docs.schema[key].dataType.simpleString()
     joined = packed_texts(docs, packer, key, text).join(found, ["ord", "tag"], "left").select("key", "packed", "found")
     schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
