@@ -307,7 +307,7 @@ def repeated_spans(docs: DataFrame, packer: Packer, key: str = "doc_id", text: s
     rows = docs.select(*_keyed(docs, key, text))
 
     def merged(sent: DataFrame, name: str) -> DataFrame:
-        return staged(sent.repartition(parts, "range").mapInArrow(lambda batches: _merge(batches, ranges), FOUND), name)
+        return staged(sent.repartition(parts, "range").mapInArrow(lambda batches: _merge(batches, parts), FOUND), name)
 
     def gathered(found: DataFrame) -> DataFrame:
         return found.repartition(parts, "bucket").mapInArrow(_gather, "ord long, tag int, spans binary")
