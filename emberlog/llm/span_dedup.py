@@ -12,7 +12,8 @@ A byte goes where a string of 50 bytes covers it that also starts in a document
 4. Each document joins what was found for it.
 
 A suffix array of everything, merged suffix by suffix, would move tens of bytes for each byte of text; step 2 moves about one.
-Hashes have 80 bits or more. Nothing is collected; a range holds a bounded share of the sorted hashes, and a shard sends what it
+Window hashes have 80 bits, those of the surroundings 64 besides the anchor's 48: many documents that share a line amid different
+text are told apart by the surroundings' hash alone. Nothing is collected; a range holds a bounded share of the sorted hashes, and a shard sends what it
 repeats within itself only once.
 
 Defined results: null text counts as empty; a null key is larger than all others; rows that repeat a key do not remove each other's
@@ -39,7 +40,7 @@ SHARD, WINDOW_SHARD, RANGES = 4_000_000, 16_000_000, 4
 DICTIONARY_TEXTS = 2000
 LAST = (1 << 63) - 1
 #: Columns of a sent item: hash, hash of the surroundings and of their two parts, key, tag of the row, place in the document.
-ITEM = np.dtype([("h", "<u8"), ("c", "<u2"), ("a", "<u2"), ("b", "<u2"), ("ord", "<i8"), ("tag", "<u2"), ("at", "<u4")])
+ITEM = np.dtype([("h", "<u8"), ("c", "<u8"), ("a", "<u2"), ("b", "<u2"), ("ord", "<i8"), ("tag", "<u2"), ("at", "<u4")])
 #: Bits of a hash that are sent; the ranges are cut by its upper ones.
 SENT_BITS = 48
 
@@ -220,10 +221,10 @@ def _window_sender(ranges: int, packer: Packer):
                 near[start:end] = S.covered(end - start, spans[:, 0], spans[:, 1])
             at = np.flatnonzero(near & S.window_starts(starts, ends, len(buffer)))
             h, more = S.span_hash(buffer, at, S.SPAN, 17), S.span_hash(buffer, at, S.SPAN, 23)
-            hashes = (h, more >> np.uint64(48), more & np.uint64(0xFFFF), 0)
+            hashes = (h, more >> np.uint64(32), 0, 0)
             items = _items(hashes, np.array(ords, np.int64), np.array(tags, np.uint16), starts, at)
-            items = items[np.lexsort((items["ord"], items["a"], items["c"], items["h"]))]
-            first = np.flatnonzero(_new(items, "hca"))
+            items = items[np.lexsort((items["ord"], items["c"], items["h"]))]
+            first = np.flatnonzero(_new(items, "hc"))
             later = items["ord"] > np.repeat(items["ord"][first], np.diff(np.append(first, len(items))))
             yield _sent(list(_ranges(items[~later], ranges)), "window")
             if later.any():  # a smaller key holds the window in this shard: settled, as a run of one

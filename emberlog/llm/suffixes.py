@@ -163,11 +163,11 @@ def anchors(buffer: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def contexts(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of what windows around each anchor can see, 32 bits of all of it (``LEFT`` before to ``SPAN`` after, within the
+    """Hashes of what windows around each anchor can see, 64 bits of all of it (``LEFT`` before to ``SPAN`` after, within the
     document) and 16 bits of either part that half of the windows hold whole."""
     owner = owners(starts, at)
     left, right = np.minimum(at - starts[owner], LEFT), np.minimum(ends[owner] - at, SPAN)
-    seen = mixed(span_hash(buffer, at - LEFT, LEFT + SPAN, 5) + (left * 64 + right).astype(np.uint64)) >> np.uint64(32)
+    seen = mixed(span_hash(buffer, at - LEFT, LEFT + SPAN, 5) + (left * 64 + right).astype(np.uint64))
     return seen, span_hash(buffer, at, SPAN - HALF, 7) >> np.uint64(48), span_hash(buffer, at - HALF, HALF + GRAM, 9) >> np.uint64(48)
 
 

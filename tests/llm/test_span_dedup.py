@@ -92,3 +92,15 @@ def test_long_text_and_empty(spark):
     rows = {r.doc_id: r for r in P.remove_repeats(docs).collect()}
     assert rows[1].n_removed == 0 and rows[2].spans == [[10, 10 + 899_500]]
     assert P.removals(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_shared_line_amid_different_text(spark, monkeypatch):
+    """Thousands of surroundings of one line: by 16 bits dozens of them would be taken for equal."""
+    monkeypatch.setattr(P, "SHARD", 40_000)
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    line = "".join(rng.choices(letters, k=70))
+    rows = [(k, "".join(rng.choices(letters, k=60)) + line + "".join(rng.choices(letters, k=60))) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in P.removals(docs).collect())
+    assert got == _brute(rows)
