@@ -17,7 +17,7 @@ text are told apart by the surroundings' hash alone. Nothing is collected; a ran
 repeats within itself only once.
 
 Defined results: null text counts as empty; a null key is larger than all others; rows that repeat a key do not remove each other's
-bytes; texts shorter than 50 bytes lose nothing; an empty table gives no rows; other columns play no part.
+bytes and are told apart by a 64-bit hash of the text; texts shorter than 50 bytes lose nothing; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ SHARD, WINDOW_SHARD, RANGES = 4_000_000, 16_000_000, 4
 DICTIONARY_TEXTS = 2000
 LAST = (1 << 63) - 1
 #: Columns of a sent item: hash, hash of the surroundings and of their two parts, key, tag of the row, place in the document.
-ITEM = np.dtype([("h", "<u8"), ("c", "<u8"), ("a", "<u2"), ("b", "<u2"), ("ord", "<i8"), ("tag", "<u2"), ("at", "<u4")])
+ITEM = np.dtype([("h", "<u8"), ("c", "<u8"), ("a", "<u2"), ("b", "<u2"), ("ord", "<i8"), ("tag", "<u8"), ("at", "<u4")])
 #: Bits of a hash that are sent; the ranges are cut by its upper ones.
 SENT_BITS = 48
 
@@ -87,10 +87,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             ords.append(ord_), tags.append(tag), texts.append(text.as_py().encode("utf-8", "surrogatepass"))
             size += len(texts[-1])
             if size >= SHARD:
-                yield np.array(ords, np.int64), np.array(tags, np.uint16), texts
+                yield np.array(ords, np.int64), np.array(tags, np.int64).view(np.uint64), texts
                 ords, tags, texts, size = [], [], [], 0
     if texts:
-        yield np.array(ords, np.int64), np.array(tags, np.uint16), texts
+        yield np.array(ords, np.int64), np.array(tags, np.int64).view(np.uint64), texts
 
 
 def _items(hashes: tuple, ords: np.ndarray, tags: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def _anchor_sender(ranges: int):
 
 
 #: Columns of a found span: key, tag of the row, begin and end in the document.
-SPAN_ITEM = np.dtype([("ord", "<i8"), ("tag", "<u2"), ("begin", "<i4"), ("end", "<i4")])
+SPAN_ITEM = np.dtype([("ord", "<i8"), ("tag", "<u8"), ("begin", "<i4"), ("end", "<i4")])
 FOUND = "bucket int, kind string, spans binary"
 
 
@@ -164,7 +164,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = slice(at, at + 5000)
         own = first[heads[some]]
         blobs = [runs[a:b].tobytes() for a, b in zip(heads[some], ends[some], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(spans["ord"][own]), pa.array(spans["tag"][own].astype(np.int32)), pa.array(blobs, pa.binary())], ["ord", "tag", "spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(spans["ord"][own]), pa.array(spans["tag"][own].astype(np.int64)), pa.array(blobs, pa.binary())], ["ord", "tag", "spans"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def _window_sender(ranges: int, packer: Packer):
             at = np.flatnonzero(near & S.window_starts(starts, ends, len(buffer)))
             h, more = S.span_hash(buffer, at, S.SPAN, 17), S.span_hash(buffer, at, S.SPAN, 23)
             hashes = (h, more >> np.uint64(32), 0, 0)
-            items = _items(hashes, np.array(ords, np.int64), np.array(tags, np.uint16), starts, at)
+            items = _items(hashes, np.array(ords, np.int64), np.array(tags, np.int64).view(np.uint64), starts, at)
             items = items[np.lexsort((items["ord"], items["c"], items["h"]))]
             first = np.flatnonzero(_new(items, "hc"))
             later = items["ord"] > np.repeat(items["ord"][first], np.diff(np.append(first, len(items))))
@@ -298,7 +298,7 @@ def _finisher(packer: Packer):
 
 def _keyed(docs: DataFrame, key: str, text: str) -> tuple[Column, Column, Column]:
     body = text_of(docs[text])
-    return F.coalesce(docs[key].cast("long"), F.lit(LAST)).alias("ord"), F.pmod(F.xxhash64(body), F.lit(1 << 16)).cast("int").alias("tag"), body.alias("text")
+    return F.coalesce(docs[key].cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(body).alias("tag"), body.alias("text")
 
 
 def repeated_spans(docs: DataFrame, packer: Packer, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -311,7 +311,7 @@ def repeated_spans(docs: DataFrame, packer: Packer, key: str = "doc_id", text: s
         return staged(sent.repartition(parts, "range").mapInArrow(lambda batches: _merge(batches, parts), FOUND), name)
 
     def gathered(found: DataFrame) -> DataFrame:
-        return found.repartition(parts, "bucket").mapInArrow(_gather, "ord long, tag int, spans binary")
+        return found.repartition(parts, "bucket").mapInArrow(_gather, "ord long, tag long, spans binary")
 
     first = merged(rows.mapInArrow(_anchor_sender(ranges), SENT), "anchors")
     unclear = gathered(first.where(F.col("kind") == "unclear")).withColumnRenamed("spans", "marks")
@@ -323,7 +323,7 @@ def repeated_spans(docs: DataFrame, packer: Packer, key: str = "doc_id", text: s
 def packed_texts(docs: DataFrame, packer: Packer, key: str, text: str) -> DataFrame:
     """The texts, compressed for the exchange by document."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(*_keyed(docs, key, text), docs[key].alias("key")).mapInArrow(packer.pack, f"ord long, tag int, packed binary, key {kind}")
+    return docs.select(*_keyed(docs, key, text), docs[key].alias("key")).mapInArrow(packer.pack, f"ord long, tag long, packed binary, key {kind}")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -104,3 +104,14 @@ def test_shared_line_amid_different_text(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in P.removals(docs).collect())
     assert got == _brute(rows)
+
+
+def test_rows_without_key_are_told_apart(spark):
+    """Thousands of texts under no key: by 16 bits some would take each other's spans."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    line = "".join(rng.choices(letters, k=70))
+    rows = [(1, line)] + [(None, "".join(rng.choices(letters, k=rng.randint(50, 200))) + (line if k % 2 else "")) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in P.removals(docs).collect())
+    assert got == _brute(rows)
