@@ -2,8 +2,8 @@
 
 A byte goes where a string of 50 bytes covers it that also starts in a document with a smaller key. The work has four steps.
 
-1. *Per shard* (some megabytes of neighbouring documents) a suffix array, by Larsson-Sadakane refinement, and its common prefixes,
-   by Kasai, show every window of 50 bytes that repeats within the shard. Only the windows left go on.
+1. *Per shard* (some megabytes of neighbouring documents) a suffix array of 64 bytes, by Larsson-Sadakane refinement, and common
+   prefixes up to 50 bytes, by direct comparison, show every window of 50 bytes that repeats within the shard. Only the windows left go on.
 2. *Across shards* windows meet by anchors, the grams with the least hash in each window: equal windows have equal anchors, one for
    about 20 bytes. A shard sorts its anchors, cuts the sorted run into ranges of the hash by binary search and sends each range to
    its task, where the runs are merged. An anchor whose whole surroundings also occur under a smaller key is settled: all windows
