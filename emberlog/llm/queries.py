@@ -5,8 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from emberlog.llm import decontaminate, exact_dedup, language_mixture, mixture, quality, simhash, span_dedup, token_output, toxicity, url_filter
+from pyspark.sql import functions as F
+
+from emberlog.llm import (
+    chunk_reuse,
+    decontaminate,
+    exact_dedup,
+    filter_audit,
+    hard_negatives,
+    language_mixture,
+    mixture,
+    quality,
+    simhash,
+    span_dedup,
+    token_output,
+    toxicity,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,7 +75,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
-for _query in (op1_simhash, op2_language_id, op3_quality, op4_span_dedup, op5_url_filter, op6_token_output, op7_decontamination, op8_mixing, op9_toxicity, op10_exact_dedup):
+def op11_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_reuse.digests(_documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+for _query in (
+    op1_simhash, op2_language_id, op3_quality, op4_span_dedup, op5_url_filter, op6_token_output, op7_decontamination, op8_mixing, op9_toxicity, op10_exact_dedup,
+    op11_chunk_bpe, op12_hard_negatives, op13_filter_audit,
+):
     QUERIES[_query.__name__] = _query
+ORACLE["op12_hard_negatives"] = hard_negatives.ORACLE
+ORACLE["op13_filter_audit"] = filter_audit.ORACLE
 ORACLE["op10_exact_dedup"] = exact_dedup.ORACLE
 ORACLE["op4_span_dedup"] = span_dedup.ORACLE
