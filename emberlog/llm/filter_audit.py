@@ -2,11 +2,12 @@
 
 A task cuts its documents into *shards* of about ``SHARD`` bytes of text. A shard's words get numbers of its own and its documents
 become compressed sparse rows over them, written to the shared folder beside the list of the shard's words. The words of all shards
-meet once, each word once a shard, and get the numbers of one global dictionary; every shard then takes its columns' global numbers
-and rewrites its rows. So texts are read once and never shuffled, a task holds one shard, and a word that every document holds is as
-many rows as there are shards. Sums of a row are its document's words, its nonzero entries the distinct ones: they decide filters A
-and B. C and D are decided where the text is read; E compares sha256 of the texts: the first of equal texts is known by digest and
-smallest key together, so copies meet only in a partial aggregate.
+then meet, each word once a shard, in buckets of the word's hash, some ``BUCKET`` words each; a bucket gives them the numbers of one
+global dictionary and sends each shard the numbers of its words, packed. Texts are read once and never shuffled, a task holds one
+shard or one bucket, and a word that every document holds is as many entries as there are shards. Sums of a row are its
+document's words, its nonzero entries the distinct ones: they decide filters A and B. C and D are decided where the text is read; E
+compares sha256 of the texts: the first of equal texts is known by digest and smallest key together, so copies meet only in a
+partial aggregate.
 
 What is left is one of 32 sets of failures a document, counted by part; orders, losses and Shapley sums follow from these counts.
 
@@ -20,6 +21,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 from math import factorial
@@ -32,17 +35,28 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import staged
 
-#: Bytes of text in a shard, about.
-SHARD = 16 << 20
+#: Bytes of text in a shard, words of all shards in a bucket, about.
+SHARD, BUCKET = 16 << 20, 1 << 20
 FILTERS = "ABCDE"
 MARKS = re.compile(b"[#$%&*|]")
 CAPITALS = bytes(range(65, 91))
-ROWS = "shard long, words array<binary>, indptr binary, indices binary, counts binary, keys array<long>, parts array<string>, flags binary, digests binary"
+ROWS = "shard long, n_terms long, words binary, indptr binary, indices binary, counts binary, keys array<long>, parts array<string>, flags binary, digests binary"
 _ROWS = pa.schema(
-    [("shard", pa.int64()), ("words", pa.list_(pa.binary())), ("indptr", pa.binary()), ("indices", pa.binary()), ("counts", pa.binary()),
+    [("shard", pa.int64()), ("n_terms", pa.int64()), ("words", pa.binary()), ("indptr", pa.binary()), ("indices", pa.binary()), ("counts", pa.binary()),
      ("keys", pa.list_(pa.int64())), ("parts", pa.list_(pa.string())), ("flags", pa.binary()), ("digests", pa.binary())]
 )
 JUDGED = "key long, part string, digest binary, fails int, n_words long, n_distinct long"
+PACKED = "bucket int, shard long, places binary, words binary"
+NUMBERED = "shard long, bucket int, places binary, numbers binary"
+
+
+def _pack(data: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data if isinstance(data, bytes) else data.tobytes())
+
+
+def _unpack(data: bytes, kind: str | None = None):
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return raw if kind is None else np.frombuffer(raw, kind)
 
 
 class _Shard:
@@ -55,12 +69,9 @@ class _Shard:
 
     def add(self, key: int | None, part: str, text: str) -> None:
         body = text.encode()
-        tally: dict[bytes, int] = {}
-        for word in body.split():
-            tally[word] = tally.get(word, 0) + 1
-        numbers = self.numbers
+        tally, numbers = Counter(body.split()), self.numbers
         self.indices.append(np.array([numbers.setdefault(word, len(numbers)) for word in tally], "<i4"))
-        self.counts.append(np.fromiter(tally.values(), "<i8", len(tally)))
+        self.counts.append(np.fromiter(tally.values(), "<i4", len(tally)))
         self.sizes.append(len(tally))
         self.keys.append(key)
         self.parts.append(part)
@@ -70,10 +81,10 @@ class _Shard:
         self.bytes += len(body) + 64
 
     def record(self, shard: int) -> pa.RecordBatch:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        joined = lambda parts, kind: pack(np.concatenate(parts).astype(kind).tobytes())
-        values = (shard, list(self.numbers), pack(np.cumsum([0, *self.sizes]).astype("<i8").tobytes()), joined(self.indices, "<i4"), joined(self.counts, "<i8"),
-                  self.keys, self.parts, bytes(self.flags), b"".join(self.digests))
+        values = (
+            shard, len(self.numbers), _pack(b" ".join(self.numbers)), _pack(np.cumsum([0, *self.sizes]).astype("<i8")), _pack(np.concatenate(self.indices)),
+            _pack(np.concatenate(self.counts)), self.keys, self.parts, bytes(self.flags), b"".join(self.digests),
+        )
         return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(values, _ROWS, strict=True)], schema=_ROWS)
 
 
@@ -94,50 +105,68 @@ def _sharded(shard_bytes: int):
     return cut
 
 
-def _dictionary(shards: DataFrame) -> DataFrame:
-    """``word, number``: every word of the corpus once, numbered from 0 without gaps."""
-    words = shards.select(F.explode("words").alias("word")).distinct()
-    found = staged(words.select("word", F.monotonically_increasing_id().alias("at")), "dictionary")
-    place = F.shiftright("at", 33)
-    sizes = found.groupBy(place.alias("task")).agg(F.count("*").alias("n")).collect()  # a row a task
-    before, start = [], 0
-    for task, n in sorted(map(tuple, sizes)):
-        before.append((task, start))
-        start += n
-    bases = F.broadcast(found.sparkSession.createDataFrame(before, "task long, base long"))
-    numbered = found.join(bases, place == F.col("task"))
-    return numbered.select("word", (F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("number"))
+def _dealt(buckets: int):
+    """A shard's words by bucket, with their places in the shard."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = _unpack(packed.as_py()).split()
+                bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+                rows = [(k, shard, _pack(order[a:b].astype("<i4")), _pack(b" ".join([words[i] for i in order[a:b].tolist()]))) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "shard", "places", "words"])
+
+    return deal
+
+
+def _numbered(buckets: int):
+    """Numbers for the words of a bucket, as its rows come in: the place of the word in the bucket, times all buckets, plus the bucket."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, {}
+        for batch in batches:
+            numbers = []
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                if bucket != at:
+                    at, known = bucket, {}
+                own = [known.setdefault(word, len(known)) for word in _unpack(packed.as_py()).split()]
+                numbers.append(_pack(np.array(own, "<i8") * buckets + bucket))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), batch.column(2), pa.array(numbers, pa.binary())], ["shard", "bucket", "places", "numbers"])
+
+    return number
 
 
-def document_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source", shard_bytes: int = SHARD) -> DataFrame:
-    """The document-term matrix: one row a shard, with its compressed sparse rows and ``columns``, the global number of each of its words."""
+def document_terms(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source", shard_bytes: int = SHARD, bucket_words: int = BUCKET) -> DataFrame:
+    """The document-term matrix: one row a shard, with its compressed sparse rows and, by bucket, the global numbers of its words."""
     rows = docs.select(docs[key].cast("long").alias("key"), F.coalesce(docs[part].cast("string"), F.lit("")).alias("part"), F.coalesce(docs[text], F.lit("")).alias("text"))
     shards = staged(rows.mapInArrow(_sharded(shard_bytes), ROWS), "shards")
-    own = shards.select("shard", F.posexplode("words").alias("at", "word")).join(_dictionary(shards), "word")
-    columns = own.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "number"))), lambda x: x["number"]).alias("columns"))
+    terms = shards.agg(F.sum("n_terms")).first()[0] or 0
+    buckets = 1 + terms // bucket_words
+    dealt = shards.select("shard", "words").mapInArrow(_dealt(buckets), PACKED)
+    met = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_numbered(buckets), NUMBERED)
+    columns = met.groupBy("shard").agg(F.collect_list(F.struct("places", "numbers")).alias("columns"))  # as many bytes as the shard has words
     return shards.drop("words").join(columns, "shard", "left")
 
 
 def sparse_rows(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``indptr, columns, counts`` of a shard of ``document_terms``, columns as global numbers."""
-    read = zstandard.ZstdDecompressor().decompress
-    indptr, own, counts = (np.frombuffer(read(row[c]), kind) for c, kind in (("indptr", "<i8"), ("indices", "<i4"), ("counts", "<i8")))
-    return indptr, np.asarray(row["columns"] if row["columns"] is not None else [], np.int64)[own], counts
+    columns = np.zeros(row["n_terms"], np.int64)
+    for part in row["columns"] or []:
+        columns[_unpack(part["places"], "<i4")] = _unpack(part["numbers"], "<i8")
+    return _unpack(row["indptr"], "<i8"), columns[_unpack(row["indices"], "<i4")], _unpack(row["counts"], "<i4")
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Filters A to D of a shard's documents: a row's sum is its words, its nonzero entries the distinct ones."""
     for batch in batches:
         for at in range(batch.num_rows):
-            row = {name: batch.column(name)[at].as_py() for name in ("indptr", "indices", "counts", "flags", "digests", "keys", "parts")}
-            row["columns"] = batch.column("columns")[at].values
-            row["columns"] = None if row["columns"] is None else row["columns"].to_numpy(zero_copy_only=False)
-            indptr, columns, counts = sparse_rows(row)
-            n_words = np.diff(np.concatenate([[0], np.cumsum(counts)])[indptr])
-            order = np.lexsort((columns, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-            owner = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-            new = np.ones(len(order), bool)
-            new[1:] = (np.diff(columns[order]) != 0) | (np.diff(owner) != 0)
-            distinct = np.bincount(owner[new], minlength=len(indptr) - 1)
+            row = {name: batch.column(name)[at].as_py() for name in ("n_terms", "columns", "indptr", "indices", "counts", "flags", "digests", "keys", "parts")}
+            indptr, _, counts = sparse_rows(row)
+            n_words = np.diff(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[indptr])
+            distinct = np.diff(indptr)
             fails = np.frombuffer(row["flags"], np.uint8).astype(np.int32) + (n_words < 200) + 2 * (100 * distinct < 50 * n_words)
             digests = [row["digests"][i : i + 32] for i in range(0, len(row["digests"]), 32)]
             arrays = [pa.array(row["keys"], pa.int64()), pa.array(row["parts"]), pa.array(digests, pa.binary()), *(pa.array(x.astype(t)) for x, t in ((fails, np.int32), (n_words, np.int64), (distinct, np.int64)))]

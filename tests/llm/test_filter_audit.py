@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from itertools import permutations
 
 import numpy as np
@@ -69,15 +70,19 @@ def test_rows_match_brute_force(spark):
 def test_matrix_is_global_and_whole(spark):
     rows = _rows(random.Random(3))
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key string, fails int").repartition(4)
-    shards = A.document_terms(docs, shard_bytes=5000).collect()
+    shards = A.document_terms(docs, shard_bytes=5000, bucket_words=50).collect()
     assert len(shards) > 8
-    distinct = {w for _, t, *_ in rows for w in (t or "").encode().split()}
-    seen, got = set(), []
+    by_key = {k: (t or "").encode().split() for k, t, *_ in rows}
+    named, got = {}, []
     for shard in shards:
         indptr, columns, counts = A.sparse_rows(shard.asDict())
-        seen |= set(columns.tolist())
+        for key, a, b in zip(shard["keys"], indptr, indptr[1:], strict=False):
+            if key is not None:
+                assert sorted(Counter(by_key[key]).values()) == sorted(counts[a:b].tolist())
+                for word, column in zip(dict.fromkeys(by_key[key]), columns[a:b].tolist(), strict=True):
+                    assert named.setdefault(word, column) == column
         got += [(repr(key), int(counts[a:b].sum()), int(b - a)) for key, a, b in zip(shard["keys"], indptr, indptr[1:], strict=False)]
-    assert seen == set(range(len(distinct)))
+    assert len(set(named.values())) == len(named) == len({w for key, words in by_key.items() if key is not None for w in words})
     assert sorted(got) == sorted((repr(k), len((t or "").encode().split()), len(set((t or "").encode().split()))) for k, t, *_ in rows)
 
 
