@@ -15,6 +15,7 @@ from emberlog.functions.secrets import passes_luhn
 from emberlog.functions.text import first_non_duration, key_value_pairs, last_wins_map
 from emberlog.operators import classify as C
 from emberlog.operators import groups as G
+from emberlog.operators.counts import count_patterns
 from emberlog.operators.formats import parse_records
 from emberlog.operators.records import records_from_lines, records_from_rows, records_from_text
 from emberlog.plans.analyze import analyze
@@ -73,7 +74,7 @@ for _shape in R.SHAPES:
 MIX = (
     f"SELECT event_id, event_type, {R.by_shape(0)} AS source_type, {R.by_shape(1)} AS level, {R.by_shape(2)} AS service, "
     f"{R.by_shape(4)} AS message, "
-    f"CASE event_id % {len(R.SHAPES)} WHEN 2 THEN 'HTTP ' || {R.STATUS} || ' POST /api/pay/' || "
+    f"CASE event_id % {len(R.SHAPES)} WHEN 2 THEN 'HTTP ' || {R.STATUS} || ' POST /v2/settle/' || "
     f"CASE WHEN event_id < 10 THEN {R.ID} ELSE '<NUMBER>' END "
     f"WHEN 12 THEN '[' || {R.SERVICE} || '] ' || upper({R.SEVERITY}) || ' ' || {R.PATTERN} ELSE {R.PATTERN} END AS pattern, "
     f"CASE event_id % {len(R.SHAPES)} WHEN 2 THEN CASE event_type WHEN 'error' THEN 'GATEWAY_ERROR' WHEN 'purchase' THEN 'RATE_LIMIT' "
@@ -109,7 +110,7 @@ def parse_forced(spark, sf_dir):
 
 @query(
     "parse_fields",
-    f"SELECT event_id, '10.0.0.9' AS remote_addr, '/api/pay/' || {R.ID} AS path, {R.STATUS} AS status, '1.1' AS http_version FROM events",
+    f"SELECT event_id, '10.0.0.9' AS remote_addr, '/v2/settle/' || {R.ID} AS path, {R.STATUS} AS status, '1.1' AS http_version FROM events",
 )
 def parse_fields(spark, sf_dir):
     parsed = parse_records(_records(spark, sf_dir, "web_access"))
@@ -329,7 +330,7 @@ def error_groups(spark, sf_dir):
 def group_examples(spark, sf_dir):
     """The examples of all groups; the raw line of an example is its event id here."""
     parsed = parse_records(_records(spark, sf_dir)).withColumn("raw", F.col("pos").cast("string"))
-    examples = G.group_examples(G.with_pattern(parsed))
+    examples = G.group_examples(count_patterns(G.with_pattern(parsed)))
     return examples.select("pattern_key", F.array_join("examples", ",").alias("events"))
 
 

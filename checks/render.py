@@ -63,7 +63,7 @@ SHAPES = (
 EXPECTED = {
     "json": ("json", LEVEL, SERVICE, ISO, MESSAGE),
     "logfmt": ("logfmt", LEVEL, SERVICE, ISO, MESSAGE),
-    "web_access": ("web_access", LEVEL, "'web'", f"({DD} || '/Jan/2024:' || {CLOCK} || ' +0000')", f"('HTTP ' || {STATUS} || ' POST /api/pay/' || {ID})"),
+    "web_access": ("web_access", LEVEL, "'web'", f"({DD} || '/Jan/2024:' || {CLOCK} || ' +0000')", f"('HTTP ' || {STATUS} || ' POST /v2/settle/' || {ID})"),
     "nginx_error": ("nginx_error", LEVEL, "'nginx'", SLASHED, MESSAGE),
     "syslog_3164": ("syslog", INFERRED, SERVICE, f"('Jan ' || {DD} || ' ' || {CLOCK})", MESSAGE),
     "syslog_5424": ("syslog", LEVEL, SERVICE, ISO, MESSAGE),
@@ -90,7 +90,7 @@ def shape_line(shape: str) -> Column:
     parts = {
         "json": [lit('{"@timestamp":"'), iso, lit('","log":{"level":"'), sev, lit('","logger":"x"},"service":{"name":"'), service, lit('"},"message":"'), message, lit('"}')],
         "logfmt": [lit("ts="), iso, lit(" level="), sev, lit(" app="), service, lit(' msg="'), message, lit('"')],
-        "web_access": [lit("10.0.0.9 - - ["), dd, lit("/Jan/2024:"), clock, lit(' +0000] "POST /api/pay/'), event, lit(' HTTP/1.1" '), F.expr(STATUS), lit(' 180 "-" "curl/8.1"')],
+        "web_access": [lit("10.0.0.9 - - ["), dd, lit("/Jan/2024:"), clock, lit(' +0000] "POST /v2/settle/'), event, lit(' HTTP/1.1" '), F.expr(STATUS), lit(' 180 "-" "curl/8.1"')],
         "nginx_error": [F.expr(SLASHED), lit(" ["), sev, lit("] 12#34: "), message],
         "syslog_3164": [lit("Jan "), dd, lit(" "), clock, lit(" host-1 "), service, lit("[12]: "), message],
         "syslog_5424": [lit("<"), F.expr("CASE event_type WHEN 'error' THEN '131' WHEN 'purchase' THEN '132' ELSE '134' END"), lit(">1 "), iso, lit(" host-1 "), service, lit(" 12 ID - "), message],

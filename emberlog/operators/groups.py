@@ -1,8 +1,8 @@
 """Error events to failure groups.
 
-``pattern_stats`` is the only pass over the records: it cuts them down to one row per scope, pattern, level, service and
-source type with plain counters, so a pattern that holds most of the records ships one row per task. Everything else
-(groups, ranks, insights, summary) is computed from these few rows.
+``counts.count_patterns`` is the only pass over the records: it cuts them down to one row per scope, pattern, level, service and
+source type and task, so a pattern that holds most of the records ships one row per task. Everything else (groups, ranks,
+examples, insights, summary) is computed from these few rows.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ from emberlog.functions.levels import severity_rank
 from emberlog.functions.patterns import is_error_event, write_normalized
 from emberlog.functions.plan import Steps, add, replay
 from emberlog.functions.text import null_if_empty
-
-EXAMPLES_KEPT = 3
+from emberlog.operators.counts import EXAMPLES_KEPT, KEYS
 
 
 def with_pattern(parsed: DataFrame) -> DataFrame:
@@ -34,10 +33,9 @@ def error_events(parsed: DataFrame) -> DataFrame:
     return parsed.where(is_error_event(F.col("level"), F.col("message")))
 
 
-def pattern_stats(patterned: DataFrame) -> DataFrame:
-    return patterned.groupBy("scope", "is_error", "pattern", "level", "service", "source_type").agg(
-        F.count("*").alias("n"), F.sum("n_lines").alias("n_lines"), F.min("pos").alias("first_pos")
-    )
+def pattern_stats(counted: DataFrame) -> DataFrame:
+    """The rows of ``counts.count_patterns`` added up to one per combination."""
+    return counted.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.sum("n_lines").alias("n_lines"), F.min("first_pos").alias("first_pos"))
 
 
 def error_groups(stats: DataFrame) -> DataFrame:
@@ -75,12 +73,13 @@ def ranked(groups: DataFrame, limit: int | None) -> DataFrame:
     return out if limit is None else out.where(F.col("rank") <= limit)
 
 
-def group_examples(patterned: DataFrame) -> DataFrame:
-    """The first three records of each group; each task ships at most three per group."""
+def group_examples(counted: DataFrame) -> DataFrame:
+    """The first three records of each group, from the rows of ``counts.count_patterns``; a task ships at most three per group."""
     order = Window.partitionBy("scope", "pattern_key").orderBy("pos")
     return (
-        patterned.where("is_error")
-        .select("scope", F.lower("pattern").alias("pattern_key"), "pos", "raw")
+        counted.where("is_error")
+        .select("scope", F.lower("pattern").alias("pattern_key"), F.explode("examples").alias("e"))
+        .select("scope", "pattern_key", "e.pos", "e.raw")
         .withColumn("__n", F.row_number().over(order))
         .where(F.col("__n") <= EXAMPLES_KEPT)
         .groupBy("scope", "pattern_key")
@@ -89,17 +88,9 @@ def group_examples(patterned: DataFrame) -> DataFrame:
 
 
 def with_examples(groups: DataFrame, examples: DataFrame) -> DataFrame:
-    """Bring groups and their examples together by one aggregate over both; each side has one row per group.
-
-    A join would make the optimizer infer constraints through both long chains at once, which takes it minutes.
-    """
-    keys = ["scope", "pattern_key"]
-    rest = [c for c in groups.columns if c not in keys]
-    left = groups.select(*keys, F.struct(*rest).alias("__group"), F.lit(None).cast("array<string>").alias("examples"))
-    right = examples.select(*keys, F.lit(None).cast(left.schema["__group"].dataType).alias("__group"), "examples")
-    both = left.unionByName(right).groupBy(*keys)
-    merged = both.agg(F.max("__group").alias("__group"), F.max("examples").alias("examples"))
-    return merged.where(F.col("__group").isNotNull()).select(*keys, *[F.col(f"__group.{c}").alias(c) for c in rest], "examples")
+    """Groups with their examples; the top groups, a bounded few per scope, decide which are wanted."""
+    named = examples.select(F.col("scope").alias("__scope"), F.col("pattern_key").alias("__key"), "examples")
+    return groups.join(named, F.col("scope").eqNullSafe(F.col("__scope")) & (F.col("pattern_key") == F.col("__key")), "left").drop("__scope", "__key")
 
 
 def breakdown(counts: DataFrame, name: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Three physical shapes with the same result:
 
 * ``records_from_text``: the whole text sits in one column, so records are cut by one regex split. No shuffle.
-* ``records_from_files``: each scan task joins the lines of its own file splits in order. No shuffle of the text;
-  only the first and last piece of each split (two rows per split) are stitched across splits.
+* ``records_from_files``: each scan task joins the lines of its own file splits in order. No shuffle of the text: the pieces
+  are written once, and only the first and last piece of each split (two rows per split) are stitched across splits.
 * ``records_from_lines``: one line per row with an order column. Lines are shuffled once, in bounded ranges of the
   order column, so a scope holding most of the rows is spread over many tasks; range edges are stitched as above.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from emberlog.functions.plan import settled
 from emberlog.functions.text import LINE_END, WS_CLASS, rstrip, unicode_re
+from emberlog.session import staged
 
 # What a continuation line starts with, apart from a blank or a tab.
 CONTINUATION_HEAD = (
@@ -124,15 +125,19 @@ def records_from_files(lines: DataFrame, per_file: bool = True) -> DataFrame:
 def stitch(parts: DataFrame) -> DataFrame:
     """Join the leading continuation piece of a range to the last record of the range before it.
 
-    Only range edges (at most two pieces per range) go through the window; all other records pass untouched.
+    The pieces are written once to the shared checkpoint folder, range edges (at most two a range) apart from all others, so what is
+    costly above runs once and the edges are found without reading the rest. Which record an edge belongs to is told by its place
+    alone: the one ordered pass of a scope sees two short rows a range and no text. The text then meets record by record.
     """
-    edge = F.col("head") | F.col("tail")
     columns = ["scope", "pos", "raw", "n_lines"]
-    inner = parts.where(~edge).select(*columns)
+    held = staged(parts.select(*columns, "head", (F.col("head") | F.col("tail")).alias("edge")), "pieces", by="edge")
+    inner = held.where(~F.col("edge")).select(*columns)
+    edges = held.where(F.col("edge"))
     running = Window.partitionBy("scope").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owner = F.last(F.when(~F.col("head"), F.col("pos")), ignorenulls=True).over(running)
+    places = edges.select(F.col("scope").alias("__scope"), F.col("pos").alias("__pos"), owner.alias("__record"))
     stitched = (
-        parts.where(edge)
-        .withColumn("__record", F.sum(F.when(F.col("head"), 0).otherwise(1)).over(running))
+        edges.join(places, F.col("scope").eqNullSafe(F.col("__scope")) & (F.col("pos") == F.col("__pos")))
         .groupBy("scope", "__record")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "raw", "n_lines"))).alias("__parts"))
         .select(

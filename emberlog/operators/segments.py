@@ -18,6 +18,8 @@ JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 JSON_TOKEN = JSON_STRING + r'|[{}\[\],:]|[^\s{}\[\],:"]++'
 # A line that may be JSON as a whole: an object, a list, a string, a number or a word.
 JSON_LIKE = r'^(?:\{.*\}|\[.*\]|".*"|-?[0-9][0-9.eE+-]*|true|false|null)$'
+#: Tokens of a JSON line that are folded together.
+TOKEN_BLOCK = 256
 SEGMENT = "array<struct<pre:string,txt:string,cat:string,post:string>>"
 
 
@@ -105,42 +107,41 @@ def _token_keys(line: Column, tokens: Column) -> Column:
     """For each token the key token it stands under, or NULL.
 
     Without lists that is the string before the colon. With lists the tokens are folded with a stack of keys: elements
-    stand under the key of their list, an object inside a list starts afresh.
+    stand under the key of their list, an object inside a list starts afresh. An array grows by copying, so the fold fills
+    blocks of ``TOKEN_BLOCK`` tokens and only lists the full blocks: the time is in proportion to the tokens.
     """
     direct = F.transform(
         tokens, lambda x, i: F.when(F.get(tokens, i - 1) == ":", F.get(tokens, i - 2))
     )
-    null = F.lit(None).cast("string")
-    start = F.struct(
-        F.array().cast("array<string>").alias("stack"),
-        null.alias("key"),
-        null.alias("last"),
-        F.array().cast("array<string>").alias("out"),
-    )
+    null, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+
+    def state(stack, key, last, out):
+        return F.struct(stack.alias("stack"), key.alias("key"), last.alias("last"), out.alias("out"))
 
-    def step(state, token):
+    def step(s, token):
         opens = token.isin("{", "[")
         closes = token.isin("}", "]")
-        depth = F.size(state["stack"])
+        depth = F.size(s["stack"])
         stack = (
-            F.when(opens, F.concat(state["stack"], F.array(state["key"])))
-            .when(closes, F.slice(state["stack"], 1, F.greatest(depth - 1, F.lit(0))))
-            .otherwise(state["stack"])
+            F.when(opens, F.concat(s["stack"], F.array(s["key"])))
+            .when(closes, F.slice(s["stack"], 1, F.greatest(depth - 1, F.lit(0))))
+            .otherwise(s["stack"])
         )
         key = (
             F.when(token == "{", null)
-            .when(closes, F.get(state["stack"], depth - 1))
-            .when(token == ":", state["last"])
-            .otherwise(state["key"])
-        )
-        return F.struct(
-            stack.alias("stack"),
-            key.alias("key"),
-            token.alias("last"),
-            F.concat(state["out"], F.array(state["key"])).alias("out"),
+            .when(closes, F.get(s["stack"], depth - 1))
+            .when(token == ":", s["last"])
+            .otherwise(s["key"])
         )
+        return state(stack, key, token, F.concat(s["out"], F.array(s["key"])))
+
+    def block(s, at):
+        start = state(s["stack"], s["key"], s["last"], none)
+        return F.aggregate(F.slice(tokens, at, F.lit(TOKEN_BLOCK)), start, step, lambda t: t.withField("out", F.concat(s["out"], F.array(t["out"]))))
 
-    folded = F.aggregate(tokens, start, step, lambda state: state["out"])
+    start = state(none, null, null, F.array().cast("array<array<string>>"))
+    places = F.sequence(F.lit(1), F.size(tokens), F.lit(TOKEN_BLOCK))
+    folded = F.aggregate(places, start, block, lambda s: F.flatten(s["out"]))
     return F.when(line.contains("["), folded).otherwise(direct)
 
 

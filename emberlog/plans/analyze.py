@@ -2,29 +2,51 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from emberlog.operators import classify as C
 from emberlog.operators import groups as G
+from emberlog.operators.counts import count_patterns
 from emberlog.operators.formats import parse_records
 from emberlog.operators.summary import summary
 from emberlog.session import configure
 from emberlog.sources.rules import Rule, load_rules
 
 MIN_GROUPS, MAX_GROUPS, DEFAULT_GROUPS = 1, 50, 10
+COLUMNS = ["scope", "rank", "pattern", "count", "level", "service", "source_type", "classification"]
 
 
-@dataclass(frozen=True)
 class Analysis:
-    """Lazy results. ``stats`` is the one heavy pass; persist or write it when several results are wanted."""
+    """Results of one pass over the records, all lazy frames over its counts: ``counted`` as ``counts.count_patterns`` gives them."""
 
-    stats: DataFrame
-    summary: DataFrame
-    source_types: DataFrame
-    groups: DataFrame
-    insights: DataFrame
+    def __init__(self, counted: DataFrame, max_groups: int = DEFAULT_GROUPS, rules: list[Rule] | None = None, examples: bool = True):
+        self.counted, self.max_groups, self.examples = counted, max_groups, examples
+        self.rules = load_rules() if rules is None else rules
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return G.pattern_stats(self.counted)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return summary(self.stats)
+
+    @cached_property
+    def source_types(self) -> DataFrame:
+        return G.source_counts(self.stats)
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        top = C.classify(G.ranked(G.error_groups(self.stats), self.max_groups), self.rules)
+        if not self.examples:
+            return top.select(*COLUMNS)
+        return G.with_examples(top.select("pattern_key", *COLUMNS), G.group_examples(self.counted)).select(*COLUMNS, "examples")
+
+    @cached_property
+    def insights(self) -> DataFrame:
+        return C.insights(self.counted.sparkSession, C.classify(G.error_groups(self.stats), self.rules), self.rules)
 
 
 def analyze(
@@ -34,33 +56,13 @@ def analyze(
     rules: list[Rule] | None = None,
     examples: bool = True,
 ) -> Analysis:
-    """Analyse ``records(scope, pos, raw, n_lines)``; each scope is a unit of its own."""
-    configure(records.sparkSession)
+    """Analyse ``records(scope, pos, raw, n_lines)``; each scope is a unit of its own.
 
-    def patterned():
-        return G.with_pattern(parse_records(records, source_type))
-
-    # The examples get a chain of their own: joining one chain with itself makes the analyzer rename it step by step.
-    return from_stats(G.pattern_stats(patterned()), patterned() if examples else None, max_groups, rules)
-
-
-def from_stats(
-    stats: DataFrame, patterned: DataFrame | None, max_groups: int = DEFAULT_GROUPS, rules: list[Rule] | None = None
-) -> Analysis:
-    """All results from the pattern counts; the records are read again only for examples."""
+    Runs one job, which reads the records once and writes their counts (with the first examples of each pattern) to the shared
+    checkpoint folder; all results read these.
+    """
     if not MIN_GROUPS <= max_groups <= MAX_GROUPS:
         raise ValueError(f"max_groups must be between {MIN_GROUPS} and {MAX_GROUPS}")
-    rules = load_rules() if rules is None else rules
-    groups = G.error_groups(stats)
-    top = C.classify(G.ranked(groups, max_groups), rules)
-    columns = ["scope", "rank", "pattern", "count", "level", "service", "source_type", "classification"]
-    if patterned is not None:
-        top = G.with_examples(top.select("pattern_key", *columns), G.group_examples(patterned))
-        columns.append("examples")
-    return Analysis(
-        stats=stats,
-        summary=summary(stats),
-        source_types=G.source_counts(stats),
-        groups=top.select(*columns),
-        insights=C.insights(stats.sparkSession, C.classify(groups, rules), rules),
-    )
+    configure(records.sparkSession)
+    patterned = G.with_pattern(parse_records(records, source_type))
+    return Analysis(count_patterns(patterned, examples), max_groups, rules, examples)

@@ -67,6 +67,53 @@ def test_records_same_from_text_lines_and_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_read_once_for_all_results(spark, tmp_path, monkeypatch):
+    from emberlog.operators import counts, records
+
+    (tmp_path / "a.log").write_text(ANALYSIS)
+    ran = []
+
+    def spied(df, name, by=None, real=records.staged):
+        ran.append((name, physical(df)))
+        return real(df, name, by)
+
+    monkeypatch.setattr(records, "staged", spied)
+    monkeypatch.setattr(counts, "staged", spied)
+    found = records_from_files(file_lines(spark, str(tmp_path)))
+    assert [name for name, _ in ran] == ["pieces"] and ran[0][1].count("FileScan text") == 1 and ran[0][1].count("MapInArrow") == 1
+    assert "text" not in physical(found).replace("Context", "") or "FileScan text" not in physical(found)
+    assert "MapInArrow" not in physical(found) and physical(found).count("PartitionFilters: [edge") + physical(found).count("PartitionFilters: [isnotnull(edge") == 3
+    result = analyze(found)
+    assert [name for name, _ in ran] == ["pieces", "patterns"] and ran[1][1].count("MapInArrow") == 1
+    for frame in (result.groups, result.summary, result.insights, result.source_types):
+        plan = physical(frame)
+        assert "FileScan text" not in plan and "MapInArrow" not in plan and "pieces-" not in plan
+    assert result.groups.first().examples and len(ran) == 2
+
+
+def test_examples_are_the_first_in_every_order(spark, monkeypatch):
+    from emberlog.operators import counts
+
+    rows = [("s", k % 3 != 0, f"p{k % 5}", "ERROR", None if k % 2 else "x", "plain", 1 + k % 2, (f"f{k * 7 % 4}", None if k == 9 else k * 31 % 400), f"raw {k}") for k in range(400)]
+    schema = "scope string, is_error boolean, pattern string, level string, service string, source_type string, n_lines long, pos struct<path:string,n:long>, raw string"
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    for groups, text in ((counts.HELD_GROUPS, counts.HELD_TEXT), (3, 40)):
+        monkeypatch.setattr(counts, "HELD_GROUPS", groups)
+        monkeypatch.setattr(counts, "HELD_TEXT", text)
+        counted = counts.count_patterns(df)
+        plain = counts.count_patterns(df, examples=False)
+        assert sorted(map(str, G.pattern_stats(counted).collect())) == sorted(map(str, G.pattern_stats(plain).collect()))
+        got = {r.pattern_key: list(r.examples) for r in G.group_examples(counted).collect()}
+        place = lambda r: (r[7][0], r[7][1] is not None, r[7][1])
+        assert got == {p: [r[8] for r in sorted((r for r in rows if r[1] and r[2] == p), key=place)[:3]] for p in {r[2] for r in rows}}
+    empty = counts.count_patterns(df.limit(0))
+    assert empty.count() == 0 and G.group_examples(empty).count() == 0
+
+
 def test_json_details(spark):
     rows = parse(
         spark,

@@ -8,7 +8,7 @@ from emberlog.operators import correlate
 from emberlog.plans.analyze import analyze
 from emberlog.plans.sanitize import sanitize
 from emberlog.operators.records import records_from_rows
-from emberlog.sources.sinks import rejoined_text, write_analysis, write_sanitized
+from emberlog.sources.sinks import read_texts, rejoined_text, write_analysis, write_sanitized, write_texts
 from emberlog.sources.text import file_lines, positioned, table_lines
 from tests.samples import SECRETS
 
@@ -127,6 +127,42 @@ def test_files_in_safe_files_out_and_chain(spark, tmp_path):
         file_lines(spark, [])
 
 
+def test_report_takes_one_redaction(spark, tmp_path, monkeypatch):
+    from emberlog.plans import sanitize as plan
+
+    ran = []
+
+    def spied(df, name, real=plan.staged):
+        ran.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(plan, "staged", spied)
+    for mode, correlate in (("mask", False), ("hash", True), ("mask", True)):
+        result = sanitize(lines_of(spark, SECRETS), mode, correlate).once()
+        for frame in (result.lines, result.summary, result.categories, result.examples):
+            text = frame._jdf.queryExecution().executedPlan().toString()
+            assert "redacted-" in text and "LocalTableScan" not in text
+            assert "ExistingRDD" not in text or (mode, correlate) == ("mask", True)  # the checkpointed numbers
+        write_sanitized(result, str(tmp_path / mode), report=str(tmp_path / f"{mode}-report"))
+    assert ran == ["redacted"] * 3
+
+
+def test_texts_of_any_size_are_written_in_parts(spark, tmp_path):
+    text = "".join(f"line {k} é{'x' * (k % 50)}{end}" for k, end in zip(range(3000), ["\n", "\r\n", "\n\n", "\x0c"] * 750, strict=True)) + "no end"
+    df = spark.createDataFrame([("d", text), ("e", "alone"), (None, "a\nb\n")], "id string, text string")
+    lines = sanitize(table_lines(df, "text", "id", keep_ends=True), "mask", False).lines.repartition(7)
+    write_texts(lines, str(tmp_path / "t"), part_chars=1000)
+    parts = read_texts(spark, str(tmp_path / "t")).orderBy("scope", "part").collect()
+    own = [p for p in parts if p.scope == "d"]
+    assert "".join(p.text for p in own) == text and len(own) > 50 and max(len(p.text) for p in own) < 1100
+    assert [p.part for p in own] == list(range(1, len(own) + 1))
+    at = 0
+    for p in own:
+        assert p.offset == at
+        at += len(p.text.encode())
+    assert {p.scope: p.text for p in parts if p.scope != "d"} == {"e": "alone", None: "a\nb\n"}
+
+
 def test_inner_marks_in_the_input_are_kept(spark):
     marks = "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4\ufde0"
     text = "\n".join([f"a{marks}b a@b.cc", f'{{"x":"{marks}","email":"q{marks}@b.cc"}}', f"token={marks} ip=1.1.1.1", f"plain {marks}"])
@@ -138,6 +174,21 @@ def test_inner_marks_in_the_input_are_kept(spark):
     assert safe(spark, f"token={value} ip=1.1.1.1", "hash")[0].startswith(f"token=<API_KEY:{hashlib.sha256(value.encode()).hexdigest()[:8]}>")
 
 
+def test_json_lists_take_linear_time(spark):
+    import time
+
+    def spent(n):
+        line = '{"email":[' + ",".join(f'"x{k}","u@b.cc",{{"n":{k}}}' for k in range(n)) + "]}"
+        start = time.time()
+        row = sanitize(lines_of(spark, line), "mask", False).lines.first()
+        assert row.n_matches == 2 * n and row.sanitized.startswith('{"email":["<EMAIL>","<EMAIL>",{"n":0},"<EMAIL>"')
+        return time.time() - start
+
+    spent(10)
+    few, many = spent(1500), spent(6000)
+    assert many < 5 * few + 1
+
+
 def test_many_values_on_one_line_take_linear_time(spark):
     import time
 
