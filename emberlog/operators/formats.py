@@ -8,6 +8,7 @@ innermost text is then parsed once. Each line format is one regex whose groups a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
@@ -241,6 +242,11 @@ def _unwrap(df: Steps, depth: int, source_type: str) -> Steps:
     return add(df, f"__text{depth + 1}", F.when(box.isNotNull(), S.clean(inner, inner=True)).otherwise(text))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _unwrap_deeper(df: Steps) -> Steps:
     """Add ``__inmost``, the text within all containers, and ``__deep``: what containers below the static levels lay over it.
 
@@ -253,15 +259,10 @@ def _unwrap_deeper(df: Steps) -> Steps:
         F.lit(False).alias("stderr"), text.alias("around"), F.lit("").alias("tail"), F.lit(None).cast("array<string>").alias("cri"),
     )
 
-    def step(state, _):
-        line = S.first_line(state["text"])
-        json = _only_object(line, _as_list(line))
-        docker = _has(json, "log") & (_has(json, "stream") | _has(json, "time"))
-        is_cri = json.isNull() & _starts_with_digit(line) & line.rlike(unicode_re(CRI))
-        cri = F.split(_layout_hit(line, CRI, "", ("$1", "$2", "$3", "$4")), MARK_OPEN, -1)
+    def opened(state, line, json, docker, cri):
         log = F.rtrim(F.coalesce(_text_at(json, "log"), F.lit("")), F.lit("\n"))
         after = S.following_lines(state["text"], line)
-        next_ = F.struct(
+        return F.struct(
             S.clean(F.when(docker, log).otherwise(cri[3]), inner=True).alias("text"), F.lit(True).alias("live"),
             F.coalesce(state["label"], F.when(docker, "docker_json").otherwise("cri")).alias("label"),
             (state["raised"] | (~docker & (cri[1] == "stderr"))).alias("raised"), docker.alias("docker"),
@@ -269,9 +270,20 @@ def _unwrap_deeper(df: Steps) -> Steps:
             F.when(docker, state["tail"]).otherwise(F.concat(F.coalesce(F.concat(F.lit("\n"), after), F.lit("")), state["tail"])).alias("tail"),
             F.coalesce(state["cri"], F.when(~docker, cri)).alias("cri"),
         )
+
+    def with_json(state, line, json):
+        docker = F.coalesce(_has(json, "log") & (_has(json, "stream") | _has(json, "time")), F.lit(False))
+        is_cri = json.isNull() & _starts_with_digit(line) & line.rlike(unicode_re(CRI))
+        cri = F.when(is_cri, F.split(_layout_hit(line, CRI, "", ("$1", "$2", "$3", "$4")), MARK_OPEN, -1))
         ended = state.withField("live", F.lit(False))
-        found = F.coalesce(docker, F.lit(False)) | F.coalesce(is_cri, F.lit(False))
-        return F.when(state["live"] & found, next_).when(state["live"], ended).otherwise(state)
+        found = F.struct(docker.alias("docker"), cri.alias("cri"))
+        return _let(found, lambda x: F.when(x["docker"] | x["cri"].isNotNull(), opened(state, line, json, x["docker"], x["cri"])).otherwise(ended))
+
+    def step(state, _):
+        def with_line(line):
+            return _let(_as_list(line), lambda listed: _let(_only_object(line, listed), lambda json: with_json(state, line, json)))
+
+        return F.when(state["live"], _let(S.first_line(state["text"]), with_line)).otherwise(state)
 
     marks = F.regexp_count(text, F.lit(CONTAINER_MARK))
     inside = F.col(f"__box{UNWRAP_DEPTH - 1}").isNotNull() & (marks > 0)
