@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import decontaminate, language_mixture, mixture, near_text, token_output
+from emberlog.llm import decontaminate, language_mixture, mixture, simhash, token_output
 from emberlog.llm.common import staged
 
 
@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more), the one with the smallest id."""
-    return near_text.representatives(docs)
+    """One document of each group of near duplicates (SimHash of three-word shingles, at most three bits apart), the one with the smallest id."""
+    return simhash.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
