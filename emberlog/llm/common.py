@@ -38,6 +38,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(*names: str) -> list[str]:
+    """Column names that no table has: the names given, each with a random end."""
+    return [f"{name}_{uuid.uuid4().hex}" for name in names]
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

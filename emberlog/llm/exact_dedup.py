@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import SPACES, staged, text_of
+from emberlog.llm.common import SPACES, fresh, staged, text_of
 
 #: A digest with this share of all rows or more is frequent; counters of each partition: the sums fall short by rows/(COUNTERS + 1) at most.
 SHARE, COUNTERS = 1 / 1000, 2000
@@ -82,8 +82,9 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", share
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay."""
-    stay = exact_groups(docs, key, text).where("kept").select(F.col(key).alias("_stays")).distinct()
-    return docs.join(stay, docs[key].eqNullSafe(F.col("_stays")), "left_semi")
+    (stays,) = fresh("stays")
+    stay = exact_groups(docs, key, text).where("kept").select(F.col(key).alias(stays)).distinct()
+    return docs.join(stay, docs[key].eqNullSafe(F.col(stays)), "left_semi")
 
 
 ORACLE = r"""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import staged, word_count
+from emberlog.llm.common import fresh, staged, word_count
 
 SHARD_DOCS, SHARD_BLOCKS, MOST, WEIGHTS, SEED = 500, 256, 3, (1, 2, 3), 42
 
@@ -123,7 +123,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """``docs`` with each row as often as the mix copies it; rows that repeat a key and size share the larger number."""
-    copies = mix(docs, key, text, source, **how).groupBy(F.col(key).alias("_key"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    sized = docs.withColumn("_words", word_count(docs[text]))
-    joined = sized.join(copies, sized[key].eqNullSafe(F.col("_key")) & (F.col("_words") == F.col("_size")))
-    return joined.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    of, size, n, words, copy = fresh("key", "size", "copies", "words", "copy")
+    copies = mix(docs, key, text, source, **how).groupBy(F.col(key).alias(of), F.col("size").alias(size)).agg(F.max("copies").alias(n))
+    sized = docs.withColumn(words, word_count(docs[text]))
+    joined = sized.join(copies, sized[key].eqNullSafe(F.col(of)) & (F.col(words) == F.col(size)))
+    return joined.where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[docs[c] for c in docs.columns])

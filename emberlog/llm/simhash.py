@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import shuffle_parts, staged, text_of
+from emberlog.llm.common import fresh, shuffle_parts, staged, text_of
 
 BITS, NEAR, WORDS, SEED = 64, 3, 3, 42
 #: Fingerprints of one kind in a block. Shingles hashed, and entries made, at a time.
@@ -324,5 +324,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: those with the smallest key of their component."""
-    stay = near_duplicates(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stays")).distinct()
-    return docs.join(stay, docs[key].eqNullSafe(F.col("_stays")), "left_semi")
+    (stays,) = fresh("stays")
+    stay = near_duplicates(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(stays)).distinct()
+    return docs.join(stay, docs[key].eqNullSafe(F.col(stays)), "left_semi")

@@ -124,3 +124,11 @@ def test_composition_is_side_by_side():
             p, x = a.step[p][c]
             q, y = b.step[q][c]
             assert out == x | y
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    from emberlog.llm import language_mixture
+
+    docs = spark.createDataFrame([(k, "ein kurzer Text und noch einer", "de") for k in range(8)] + [(90 + k, t, None) for k, t in enumerate(["½ ² Ⅳ", "123 !!", "_", "ª"])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_mixture.identify(docs).collect()}
+    assert [got[90 + k] for k in range(4)] == ["und", "und", "und", "de"]

@@ -33,3 +33,22 @@ def test_stages_take_effect(spark):
 
 def test_names():
     assert [n for n, _ in C.STAGES] == ["language", "near_duplicates", "decontamination", "mixing", "tokens"]
+
+
+def test_columns_with_names_of_the_operators_own(spark):
+    from emberlog.llm import exact_dedup, mixture, simhash
+
+    rows = [(1, "a b c d", "x", 0, 1, "s"), (2, "a b c d", "y", 0, 1, "s"), (None, "", None, 0, 1, "s"), (None, None, None, 0, 1, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _key int, _words int, _stays string")
+    more = docs.withColumns({"_copies": F.lit(1), "_tag": F.lit(2), "component_id": F.lit(3), "fp": F.lit(4), "size": F.lit(5), "key": F.lit(6)})
+    assert sorted(str(r.doc_id) for r in simhash.representatives(more).collect()) == ["1", "None", "None"]
+    assert sorted(str(r.doc_id) for r in exact_dedup.deduplicate(more).collect()) == ["1", "None", "None"]
+    mixed = mixture.mixed_documents(more)
+    assert mixed.columns == more.columns and {r._words for r in mixed.collect()} == {1}
+
+
+def test_no_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in C.STAGES:
+        docs = staged(stage(spark, docs, SF), name)
+        assert docs.collect() == []
