@@ -129,6 +129,24 @@ def classify_many_rules(spark, sf_dir):
     return C.classify_by_table(words, rules).select("event_id", "rule_priority", "classification")
 
 
+TABLED = 100_000
+
+
+@query(
+    "classify_rules_from_table",
+    f"SELECT event_id, CAST(CASE WHEN event_id % 3 = 2 THEN {TABLED} ELSE event_id % {TABLED} END AS BIGINT) AS rule_priority, "
+    f"CASE WHEN event_id % 3 = 2 THEN 'GENERAL' ELSE 'K' || CAST(event_id % {TABLED} % 9 AS VARCHAR) END AS classification FROM events",
+)
+def classify_rules_from_table(spark, sf_dir):
+    """A hundred thousand rules that Spark derives, of several shapes, and a last one that requires no text."""
+    shape = F.expr("CASE id % 4 WHEN 0 THEN '\\\\bunit' || id || '\\\\b' WHEN 1 THEN 'unit' || id || ' (?:stuck|gone|lost)' WHEN 2 THEN '(?:unit' || id || '|rack' || id || ')[ .]' ELSE 'uni(?:t)' || id || '\\\\s+\\\\w' END")
+    own = spark.range(TABLED).select(F.col("id").alias("priority"), shape.alias("pattern"), F.concat(F.lit("K"), (F.col("id") % 9).cast("string")).alias("classification"))
+    rules = own.unionByName(spark.range(1).select(F.lit(TABLED).cast("long").alias("priority"), F.lit("\\d\\d?$").alias("pattern"), F.lit("GENERAL").alias("classification")))
+    name = F.when(F.col("event_id") % 3 == 2, F.concat(F.lit("bin "), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("the UNIT"), (F.col("event_id") % TABLED).cast("string"), F.lit(" stuck again")))
+    words = R.events(spark, sf_dir).select("event_id", name.alias("pattern"))
+    return C.classify_by_table(words, rules).select("event_id", "rule_priority", "classification")
+
+
 # --- records ------------------------------------------------------------------------------------------------------
 
 _TAIL = "chr(10) || '  more ' || CAST(event_id AS VARCHAR)"

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import unicode_re
+from emberlog.operators import rule_index
+from emberlog.session import staged
 from emberlog.sources.rules import Rule, rules_table
 
 UNKNOWN = "UNKNOWN"
@@ -42,14 +44,29 @@ def classify(groups: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def classify_by_table(groups: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same for rules that come as a table ``priority, pattern, classification``, of any number.
+    """The same for rules that come as a table ``priority, pattern, classification``, of any number; priorities differ.
 
-    The rules are read in order of priority, partition by partition, and become the same CASE steps: each pattern is compiled once
-    per task, where a join on ``rlike`` would compile it again for every pair of group and rule.
+    Up to ``BLOCK_RULES`` rules become a CASE. More are filed by the texts they require (``rule_index``) and joined with the distinct
+    patterns; of these only rules that require no text become a CASE. Patterns without a hit, null ones too, are ``UNKNOWN``.
     """
-    rows = rules.select("priority", "pattern", "classification").orderBy("priority").toLocalIterator()
-    listed = [Rule(r["priority"], None, r["pattern"] or "", r["classification"] or UNKNOWN, "", [], []) for r in rows]
-    return classify(groups, listed)
+    named = rules.select("priority", "pattern", "classification")
+    few = named.orderBy("priority").limit(BLOCK_RULES + 1).collect()
+    if len(few) <= BLOCK_RULES:
+        return classify(groups, [_rule(r) for r in few])
+    filed = staged(rule_index.indexed(named), "rules")
+    general = [_rule(r) for r in filed.where(F.col("fragments").isNull()).orderBy("priority").toLocalIterator()]
+    texts = groups.where(F.col("pattern").isNotNull()).select(F.col("pattern").alias("text")).distinct()
+    hits = rule_index.first_rule(texts, filed).select(F.col("text").alias("__text"), F.col("rule_priority").alias("__filed"))
+    tried = groups.join(hits, F.col("pattern") == F.col("__text"), "left")
+    first = F.least("__filed", rule_priority(F.col("pattern"), general))  # the one that is not null, if one is
+    classes = named.select(F.col("priority").alias("__priority"), F.col("classification").alias("__class"))
+    out = tried.withColumn("rule_priority", first).join(classes, F.col("rule_priority") == F.col("__priority"), "left")
+    return out.withColumn("classification", F.coalesce("__class", F.lit(UNKNOWN))).drop("__text", "__filed", "__priority", "__class")
+
+
+def _rule(row) -> Rule:
+    fields = row.asDict()
+    return Rule(fields["priority"], None, fields["pattern"] or "", fields.get("classification") or UNKNOWN, "", [], [])
 
 
 def insights(spark: SparkSession, classified: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -236,3 +236,22 @@ def test_rules(spark, tmp_path):
     path.write_text('{"rules": {"a": 1}}')
     with pytest.raises(ValueError):
         load_rules(path)
+
+
+def test_required_texts():
+    from emberlog.operators.rule_index import required_texts
+
+    for pattern, want in {
+        r"\bword12\b": ["word12"], "Refused|timed out": ["refused", "timed out"], "a|timeout": None, "(?:no|bad) route+ x": [" route"], "colou?r": ["colo"],
+        "x*abc{2}d": ["abc"], "(abc)?defg": ["defg"], "(?!never)other": ["other"], r"\Qa.b\E": None, "(?i)abc": None, r"10\.0\.0\.1": ["10.0.0.1"], "[abc]def[^]x]ghij": ["ghij"],
+        "(abcd|efgh)ij": ["abcd", "efgh"], "é12": None, "ab": None, "": None, "(open": None, "close)": None, "a{0,3}bcd": ["bcd"], "(?:one|two|three){2}": ["one", "three", "two"], "abc\\": None,
+    }.items():
+        assert required_texts(pattern) == want, pattern
+
+
+def test_rule_index_equals_case(spark):
+    rules = make_rules([{"pattern": p, "classification": f"C{k}"} for k, p in enumerate([r"\bdisk\b", "(?:full|No space)", "", r"^\d+$", "ſtale|kelvin", "time(?:d)? ?out", "x{3}", "lost.{0,3}peer"] + [f"never{k}seen" for k in range(300)])])
+    texts = ["Disk FULL", "no SPACE left", "123", "a sTALE file", "0 \u212aelvin", "timeout", "timed out", "axxxb", "lost a peer", "never77Seen", "unſeen never77ſeen", "quiet", "", None, "disk"]
+    groups = spark.createDataFrame([("s", t, k) for k, t in enumerate(texts)] * 2, "scope string, pattern string, priority int")
+    keyed = lambda df: sorted(map(str, df.select("scope", "pattern", "priority", "rule_priority", "classification").collect()))
+    assert keyed(C.classify_by_table(groups, rules_table(spark, rules))) == keyed(C.classify(groups, rules))
