@@ -147,6 +147,39 @@ def classify_rules_from_table(spark, sf_dir):
     return C.classify_by_table(words, rules).select("event_id", "rule_priority", "classification")
 
 
+# --- forced types -------------------------------------------------------------------------------------------------
+
+#: For each type a caller may force, the shapes of ``render.SHAPES`` that its parser takes and what it calls them; all else is plain text.
+FORCED = {
+    "json": {"json": "json", "docker_json": "docker_json"}, "docker_json": {"json": "json", "docker_json": "docker_json"}, "cri": {"cri": "cri"},
+    "logfmt": {"logfmt": "logfmt", "cri": "logfmt"}, "web_access": {"web_access": "web_access"}, "nginx_error": {"nginx_error": "nginx_error"},
+    "syslog": {"syslog_3164": "syslog", "syslog_5424": "syslog"}, "postgres": {"postgres": "postgres"}, "mysql": {"mysql": "mysql"}, "redis": {"redis": "redis"},
+    "python": {"python": "python", "java": "python"}, "plain": {},
+}
+
+
+def _register_forced(kind: str, taken: dict[str, str]) -> None:
+    shape = f"event_id % {len(R.SHAPES)}"
+    label = " ".join(f"WHEN {R.SHAPES.index(s)} THEN '{name}'" for s, name in taken.items())
+    label = f"CASE {shape} {label} ELSE 'plain' END" if taken else "'plain'"
+    if kind == "logfmt":  # two pairs stand in every purchase's message, whatever surrounds it
+        label = f"CASE WHEN event_type = 'purchase' AND {shape} <> {R.SHAPES.index('web_access')} THEN 'logfmt' ELSE {label} END"
+    own = [s for s in taken if s in (kind, "docker_json") or (kind == "syslog" and s.startswith("syslog"))]
+    level = " ".join(f"WHEN {R.SHAPES.index(s)} THEN {R.EXPECTED[s][1]}" for s in own)
+    level = f"CASE {shape} {level} END" if own else "CAST(NULL AS VARCHAR)"
+
+    def run(spark, sf_dir):
+        parsed = parse_records(_records(spark, sf_dir), kind)
+        mine = F.array(*[F.lit(R.SHAPES.index(s)) for s in own]).cast("array<bigint>")
+        return parsed.select(F.col("pos").alias("event_id"), "source_type", F.when(F.array_contains(mine, F.col("pos") % len(R.SHAPES)), F.col("level")).alias("level"))
+
+    query(f"parse_forced_{kind}", f"SELECT event_id, {label} AS source_type, {level} AS level FROM events")(run)
+
+
+for _kind, _taken in FORCED.items():
+    _register_forced(_kind, _taken)
+
+
 # --- records ------------------------------------------------------------------------------------------------------
 
 _TAIL = "chr(10) || '  more ' || CAST(event_id AS VARCHAR)"

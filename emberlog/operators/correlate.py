@@ -7,28 +7,29 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.secrets import KEY_LETTERS, identity_key
 from emberlog.functions.text import MARK_CLOSE, MARK_OPEN
-from emberlog.session import ensure_checkpoint_dir
+from emberlog.session import staged
 
 KEYED = rf"(<[A-Z_]+:)([a-p]{{{KEY_LETTERS}}})"
-BROADCAST_ROWS = 100_000
-HOT_SHARE = 1_000  # a key with more than 1/1000 of all matches is hot, so there are fewer than 1000 of them
+#: Numbers of so many bytes, as their columns add up, are broadcast.
+BROADCAST_BYTES = 16 << 20
+#: A key with more than this part of a shuffle partition's fair share of all matches is hot; there are few such keys.
+HOT_PART = 0.25
 
 
 def number_values(matches: DataFrame) -> DataFrame:
-    """``numbers(scope, key, number, n)`` of ``matches(scope, place, category, original)``.
+    """``numbers(scope, key, number, n)`` of ``matches(scope, place, category, original)``, written once.
 
     Equal values are first reduced to one row (map-side too, so a value on a third of all lines is no load). The distinct
-    values are then range-partitioned by their order and written to the checkpoint folder, which fixes the ranges; numbers
-    are places within a range plus the sizes of the ranges before. No task sees a whole category.
+    values are written, cut into ranges of their order, and written again, which fixes the ranges; numbers are places within a
+    range plus the sizes of the ranges before. No task sees a whole category, and each step runs once.
     """
-    ensure_checkpoint_dir(matches.sparkSession)
-    distinct = (
+    distinct = staged(
         matches.withColumn("key", identity_key(F.col("category"), F.col("original")))
         .groupBy("scope", "category", "key")
-        .agg(F.min("place").alias("first"), F.count("*").alias("n"))
+        .agg(F.min("place").alias("first"), F.count("*").alias("n")),
+        "values",
     )
-    ranges = distinct.repartitionByRange("scope", "category", "first").checkpoint()
-    ranges = ranges.withColumn("range", F.spark_partition_id())
+    ranges = staged(distinct.repartitionByRange("scope", "category", "first").withColumn("range", F.spark_partition_id()), "ranges")
     before = Window.partitionBy("scope", "category").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranges.groupBy("scope", "category", "range")
@@ -36,11 +37,12 @@ def number_values(matches: DataFrame) -> DataFrame:
         .select("scope", "category", "range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
     )
     place = F.row_number().over(Window.partitionBy("scope", "category", "range").orderBy("first"))
-    return (
+    numbered = (
         ranges.withColumn("__place", place)
         .join(offsets, ["scope", "category", "range"])
         .select("scope", "key", (F.col("__offset") + F.col("__place")).alias("number"), "n")
     )
+    return staged(numbered, "numbers")
 
 
 def renumber(df: DataFrame, text: str, ids: list[str], numbers: DataFrame) -> DataFrame:
@@ -78,11 +80,12 @@ def renumber(df: DataFrame, text: str, ids: list[str], numbers: DataFrame) -> Da
 
 def _with_numbers(rows: DataFrame, numbers: DataFrame, spread: Column) -> DataFrame:
     keys = numbers.select("scope", "key", "number")
-    few = numbers.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if few:
+    size = F.sum(F.octet_length("scope") + F.octet_length("key") + 24)
+    held, total = numbers.agg(F.coalesce(size, F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if held <= BROADCAST_BYTES:
         return rows.join(F.broadcast(keys), ["scope", "key"], "left")
-    total = numbers.agg(F.sum("n")).first()[0]
-    is_hot = F.col("n") * HOT_SHARE > F.lit(total)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col("n") > F.lit(HOT_PART * total / parts)  # at most parts / HOT_PART of them
     hot = numbers.where(is_hot).select("scope", "key", F.col("number").alias("__hot"))
     cold = numbers.where(~is_hot).select("scope", F.col("key").alias("__key"), "number")
     rows = rows.join(F.broadcast(hot), ["scope", "key"], "left")
