@@ -1,18 +1,23 @@
 """Benchmark decontamination by BM25 retrieval with block maxima.
 
-The test items are the indexed side; every passage of every training document is a query. A document's words are cut into segments of
-``S`` words, ``S`` no less than any item, and a passage is two neighbouring segments, so a copied item lies whole in a passage. Impacts
-are BM25 weights divided by the item's own total: a passage with all of an item's words scores 1.
+The test items are the indexed side; every passage of every training document is a query. An item is indexed as a whole, and its
+question and its answer (what follows the last question mark, else the last sentence) as entries of their own if they have
+``PART`` words or more, so that either alone is found too. A document's words are cut into segments, no shorter than any entry, and a
+passage is two neighbouring segments, so a copied entry lies whole in a passage.
 
-Items are kept in blocks; each term has the largest impact in each block where it occurs. As in block-max WAND a passage's upper
+A match is an entry of which ``OVERLAP`` of the five-word shingles occur in the passage. Each missing word takes a shingle away, at
+least, so such a passage holds all but a known number of the entry's words; an entry's BM25 weights are divided by what is left without so
+many of the heaviest. A passage that is a match therefore scores 1 or more: retrieval loses none.
+
+Entries are kept in blocks; each term has the largest weight in each block where it occurs. As in block-max WAND a passage's upper
 bound in a block is the sum of its terms' block maxima, terms that occur nearly everywhere counting by their overall maximum alone,
-and only blocks whose bound reaches ``RETRIEVE`` are scored exactly. All items above it are verified: ``OVERLAP`` of their five-word
-shingles must occur in the passage; the overlaps of question and answer (the last sentence) are reported beside it.
+and only entries of blocks whose bound reaches 1 are scored. All above are verified by the overlaps of item, question and answer.
 
 The index is built from bounded groups of items, ``INDEX_CHARS`` characters each, so what a task holds does not grow with the
 benchmark; statistics are those of all items.
 
-Defined results: null or empty texts and items match nothing; items of fewer than five words count as one shingle; repeated rows are
+Defined results: null or empty texts and items match nothing; items of fewer than five words count as one shingle; an item
+without an answer, or with parts of fewer than ``PART`` words, is matched as a whole alone; repeated rows are
 matched alike; equal items are all reported; empty tables give no rows; other columns play no part.
 """
 
@@ -31,7 +36,9 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.common import text_of
 
-K1, B, SHINGLE, OVERLAP, RETRIEVE, BLOCK, SEGMENT = 1.2, 0.75, 5, 0.8, 0.6, 8, 64
+K1, B, SHINGLE, OVERLAP, BLOCK, SEGMENT = 1.2, 0.75, 5, 0.8, 8, 64
+#: Words of a question or an answer that is looked for alone; the score of retrieval.
+PART, RETRIEVE = 8, 1 - 1e-9
 #: A term in more blocks than this counts by its overall maximum at first.
 LONG = 64
 #: Characters of item text in one index.
@@ -60,8 +67,21 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, "")
 
 
+def missing_words(words: Sequence[str]) -> int:
+    """How many different words a passage may lack that has ``OVERLAP`` of the shingles.
+
+    Words that lack where a shingle occurs several times may share one lost shingle; such an entry is not bounded, all may lack but one.
+    """
+    shingles = len(shingles_of(words))
+    if len(words) < SHINGLE:
+        return 0
+    if shingles < len(words) - SHINGLE + 1:
+        return len(set(words)) - 1
+    return int((1 - OVERLAP) * shingles + 1e-9)
+
+
 class ItemIndex:
-    """Items, their impacts, and block maxima by term. ``stats``: number of items, mean words, items that have a term."""
+    """Items, their entries and weights, and block maxima by term. ``stats``: number of items, mean words, items that have a term."""
 
     def __init__(self, items: Sequence[tuple[int, str]], stats: tuple[int, float, dict[str, int]]):
         total, mean, having = stats
@@ -71,24 +91,31 @@ class ItemIndex:
         self.shingles = [shingles_of(words) for _, _, words in texts]
         self.parts = [tuple(shingles_of(words_of(part)) for part in question_and_answer(text)) for _, text, _ in texts]
         self.segment = max([SEGMENT, *(math.ceil(1.25 * len(words)) for _, _, words in texts)])
+        entries = [(k, 0, words) for k, (_, _, words) in enumerate(texts)]
+        for k, (_, text, words) in enumerate(texts):
+            parts = [words_of(part) for part in question_and_answer(text)]
+            entries += [(k, place, part) for place, part in enumerate(parts, 1) if PART <= len(part) < len(words)]
+        entries.sort(key=lambda e: len(e[2]))
+        self.entry_item, self.entry_part = [k for k, _, _ in entries], [place for _, place, _ in entries]
         self.vocabulary: dict[str, int] = {}
         self.impacts: list[dict[int, float]] = []
         best: dict[tuple[int, int], float] = {}
-        for k, (_, _, words) in enumerate(texts):
+        for e, (_, _, words) in enumerate(entries):
             weight = {}
             for word, tf in Counter(words).items():
                 idf = math.log(1 + (total - having[word] + 0.5) / (having[word] + 0.5))
                 weight[self.vocabulary.setdefault(word, len(self.vocabulary))] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
-            whole = sum(weight.values())
-            self.impacts.append({t: w / whole for t, w in weight.items()})
+            heaviest = sorted(weight.values(), reverse=True)
+            sure = sum(heaviest[missing_words(words) :])
+            self.impacts.append({t: w / sure for t, w in weight.items()})
             for t, w in self.impacts[-1].items():
-                best[t, k // BLOCK] = max(best.get((t, k // BLOCK), 0.0), w)
-        self.blocks = -(-len(texts) // BLOCK)
-        lists = sorted((t, k, w) for k, weight in enumerate(self.impacts) for t, w in weight.items())
-        self.item, self.impact, self.item_start = self._lists(lists)
+                best[t, e // BLOCK] = max(best.get((t, e // BLOCK), 0.0), w)
+        self.own = [(np.array(list(weight), np.int64), np.array(list(weight.values()))) for weight in self.impacts]
+        self.blocks = -(-len(entries) // BLOCK)
         self.block, self.most, self.block_start = self._lists(sorted((t, b, w) for (t, b), w in best.items()))
         self.highest = np.zeros(len(self.vocabulary))
-        np.maximum.at(self.highest, [t for t, _, _ in lists], [w for _, _, w in lists])
+        for terms, weights in self.own:
+            np.maximum.at(self.highest, terms, weights)
         self.common = np.diff(self.block_start) > LONG
 
     def _lists(self, rows: list[tuple[int, int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +135,8 @@ class ItemIndex:
         return np.bincount(np.repeat(segment, count) * self.blocks + self.block[at], self.most[at], segments * self.blocks).reshape(segments, self.blocks)
 
     def retrieve(self, terms: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """Passage (its first segment), item and score of all that reach ``RETRIEVE``; ``terms`` has -1 for words no item has."""
+        """Passage (its first segment), entry and score of all that reach ``RETRIEVE``; ``terms`` has -1 for words no item has."""
+        here = np.zeros(len(self.vocabulary), bool)
         last = max(1, -(-len(terms) // self.segment) - 1)
         step = max(1, CELLS // max(1, self.blocks))
         for first in range(0, last, step):
@@ -127,10 +155,15 @@ class ItemIndex:
                 mine = (segment >= k) & (segment <= k + 1)
                 reach[k] = self.bounds(np.zeros(mine.sum(), np.int64), term[mine], 1)[0] >= RETRIEVE
             for k in np.flatnonzero(reach.any(axis=1)).tolist():
-                at, _ = self._reading(self.item_start, np.unique(term[(segment >= k) & (segment <= k + 1)]))
-                scores = np.bincount(self.item[at], self.impact[at], len(self.keys))
-                for item in np.flatnonzero((scores >= RETRIEVE - 1e-9) & reach[k][np.arange(len(self.keys)) // BLOCK]).tolist():
-                    yield first + k, item, float(scores[item])
+                mine = term[(segment >= k) & (segment <= k + 1)]
+                here[mine] = True
+                for block in np.flatnonzero(reach[k]).tolist():
+                    for entry in range(block * BLOCK, min((block + 1) * BLOCK, len(self.own))):
+                        terms_of, weights = self.own[entry]
+                        score = float(weights[here[terms_of]].sum())
+                        if score >= RETRIEVE:
+                            yield first + k, entry, score
+                here[mine] = False
 
     def matches(self, text: str) -> dict[int, tuple[float, float, float, float]]:
         """Verified items of a text: score, and overlap of the item, its question and its answer, of the best passage."""
@@ -138,14 +171,15 @@ class ItemIndex:
         terms = np.array(list(map(self.vocabulary.get, words, itertools.repeat(-1))), np.int64)
         found: dict[int, tuple[float, float, float, float]] = {}
         at, seen = -1, set()
-        for passage, item, score in self.retrieve(terms) if self.keys else ():
+        for passage, entry, score in self.retrieve(terms) if self.keys else ():
+            item = self.entry_item[entry]
             if passage != at:
                 at, seen = passage, shingles_of(words[passage * self.segment : (passage + 2) * self.segment])
             share = [len(s & seen) / len(s) if s else 0.0 for s in (self.shingles[item], *self.parts[item])]
             if len(self.shingles[item]) == 1 and len(next(iter(self.shingles[item])).split()) < SHINGLE:
                 short = f" {next(iter(self.shingles[item]))} "
                 share[0] = float(short in f" {' '.join(words[passage * self.segment : (passage + 2) * self.segment])} ")
-            if share[0] >= OVERLAP and (item not in found or share[0] > found[item][1]):
+            if share[self.entry_part[entry]] >= OVERLAP and (item not in found or share[0] > found[item][1]):
                 found[item] = (score, *share)
         return found
 

@@ -37,7 +37,37 @@ def test_bounds_miss_no_item():
 def _plain(items, text):
     words = D.words_of(text or "")
     seen = D.shingles_of(words)
-    return {key for key, item in items if item and (s := D.shingles_of(D.words_of(item))) and (len(s & seen) / len(s) >= 0.8 if len(D.words_of(item)) >= 5 else f" {' '.join(D.words_of(item))} " in f" {' '.join(words)} ")}
+
+    def held(part):
+        own = D.words_of(part)
+        return len(s & seen) / len(s) >= 0.8 if (s := D.shingles_of(own)) and len(own) >= 5 else bool(own) and f" {' '.join(own)} " in f" {' '.join(words)} "
+
+    return {key for key, item in items if item and (held(item) or any(held(part) for part in D.question_and_answer(item) if len(D.words_of(part)) >= D.PART))}
+
+
+def test_question_answer_or_item_without_rare_words():
+    rng = random.Random(6)
+    common, rare = [f"c{k}" for k in range(40)], iter(f"r{k}" for k in range(10_000))
+    items = []
+    for key in range(120):
+        question = [rng.choice(common) if rng.random() < 0.6 else next(rare) for _ in range(rng.randint(6, 30))]
+        answer = [rng.choice(common) if rng.random() < 0.6 else next(rare) for _ in range(rng.randint(1, 14))]
+        items.append((key, f"{' '.join(question)}? {' '.join(answer)}."))
+    index = _index(items)
+    hits = alone = 0
+    for key, text in items:
+        words = text.replace("?", " ?").split()
+        question, answer = (part.split() for part in D.question_and_answer(text))
+        for part in (words, question, answer, words[: -len(words) // 6], words[len(words) // 6 :], words[:9] + words[11:]):
+            weight = index.impacts[index.entry_item.index(key)]
+            light = sorted(set(part), key=lambda w: weight.get(index.vocabulary.get(w, -1), 0.0))
+            for body in (part, [w for w in part if w not in light[-3:]]):
+                passage = " ".join([*rng.choices(common, k=rng.randint(0, 60)), *body, *rng.choices(common, k=50)])
+                want = _plain(items, passage)
+                assert set(index.matches(passage)) >= {index.keys.index(k) for k in want} and {index.keys[k] for k in index.matches(passage)} == want
+                hits += key in want
+                alone += key in want and body in (question, answer)
+    assert hits > 400 and alone > 120
 
 
 def test_documents(spark):
