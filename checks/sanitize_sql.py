@@ -22,8 +22,8 @@ def secret_line(kind: str) -> Column:
     e, lit = F.expr, F.lit
     if kind == "logfmt":
         return F.concat(
-            lit('level=info email="'), e(EMAIL), lit('" request_id='), e(REQUEST), lit(" client_ip="), e(IP),
-            lit(" token="), e(TOKEN), lit(" note=ok upstream="), e(IP),
+            lit("zone=b client_ip="), e(IP), lit(" token="), e(TOKEN), lit(" upstream="), e(IP), lit(" belt=7 request_id="), e(REQUEST),
+            lit(' owner.x=none email="'), e(EMAIL), lit('"'),
         )
     if kind == "json":
         return F.concat(
@@ -39,7 +39,7 @@ def secret_line(kind: str) -> Column:
 
 # Category and value of each find, in the order values are met within a line.
 FINDS = {
-    "logfmt": (("EMAIL", EMAIL), ("REQUEST_ID", REQUEST), ("IP_ADDRESS", IP), ("API_KEY", TOKEN), ("IP_ADDRESS", IP)),
+    "logfmt": (("IP_ADDRESS", IP), ("API_KEY", TOKEN), ("IP_ADDRESS", IP), ("REQUEST_ID", REQUEST), ("EMAIL", EMAIL)),
     "json": (("EMAIL", EMAIL), ("PASSWORD", PASSWORD), ("IP_ADDRESS", IP), ("IP_ADDRESS", IP), ("CLIENT_ID", USER)),
     "text": (
         ("BEARER_TOKEN", f"'ab.cd-' || {USER}"), ("PASSWORD", PASSWORD), ("EMAIL", EMAIL), ("SESSION_ID", SESSION),
@@ -51,8 +51,8 @@ FINDS = {
 def _expected_text(kind: str, p: dict[str, str]) -> str:
     if kind == "logfmt":
         return (
-            f"'level=info email=\"' || {p['EMAIL']} || '\" request_id=' || {p['REQUEST_ID']} || ' client_ip=' || {p['IP_ADDRESS']} "
-            f"|| ' token=' || {p['API_KEY']} || ' note=ok upstream=' || {p['IP_ADDRESS']}"
+            f"'zone=b client_ip=' || {p['IP_ADDRESS']} || ' token=' || {p['API_KEY']} || ' upstream=' || {p['IP_ADDRESS']} "
+            f"|| ' belt=7 request_id=' || {p['REQUEST_ID']} || ' owner.x=none email=\"' || {p['EMAIL']} || '\"'"
         )
     if kind == "json":
         return (
