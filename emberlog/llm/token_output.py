@@ -76,9 +76,9 @@ def _writer(tokenizer: str, end_id: int, kind: str, chunk_ids: int):
         keys: list[int | None] = []
         ids: list[np.ndarray] = []
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for key, found in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 keys.append(key)
-                ids.append(np.concatenate([encode(text.as_py()), end]))
+                ids.append(np.concatenate([found, end]))
                 held += len(ids[-1])
                 if held >= chunk_ids:
                     yield _record(shard, chunk, keys, ids, kind)

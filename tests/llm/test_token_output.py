@@ -1,11 +1,16 @@
+import functools
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from emberlog.llm import token_output as T
+from emberlog.llm import wordwise
 from emberlog.llm.wordwise import encoder
 
 ODD = [
@@ -14,15 +19,34 @@ ODD = [
 ]
 
 
+@functools.cache
 def _library():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def library_ids(text):
+    return _library().encode(text, add_special_tokens=False).ids
+
+
 def test_words_give_the_library_ids(spark):
     library, encode = _library(), encoder("byte_bpe_50k.json")
     texts = ODD + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(80).collect()]
-    for text in texts:
-        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text[:40]
+    for text, ids in zip(texts, encode(pa.array(texts)), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text[:40]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab.,'s1 \n\t\r\x00\u00a0\u0120é") | st.characters(codec="utf-8")), min_size=1, max_size=6))
+def test_any_texts_give_the_library_ids(texts):
+    want = [library_ids(text) for text in texts]
+    assert [ids.tolist() for ids in encoder("byte_bpe_50k.json")(pa.array(texts))] == want
+
+
+def test_runs_and_forgetting_change_nothing(monkeypatch):
+    texts = [f"{k} word{k % 7}, and\nmore {'x' * (k % 50)}" for k in range(300)] + ODD
+    monkeypatch.setattr(wordwise, "RUN", 500)
+    monkeypatch.setattr(wordwise, "KEPT", 2000)
+    assert [ids.tolist() for ids in encoder("byte_bpe_50k.json")(pa.array(texts))] == [library_ids(text) for text in texts]
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
