@@ -13,8 +13,8 @@ A byte goes where a string of 50 bytes covers it that also starts in a document
 
 A suffix array of everything, merged suffix by suffix, would move tens of bytes for each byte of text; step 2 moves about one.
 Window hashes have 80 bits, those of the surroundings 64 besides the anchor's 48: many documents that share a line amid different
-text are told apart by the surroundings' hash alone. Nothing is collected; a range holds a bounded share of the sorted hashes, and a shard sends what it
-repeats within itself only once.
+text are told apart by the surroundings' hash alone. Nothing is collected; there is a task for some 32 MB of text, which merges range by range,
+and a shard sends what it repeats within itself only once. Equal anchors amid different text meet in one task, about 40 bytes for each.
 
 Defined results: null text counts as empty; a null key is larger than all others; rows that repeat a key do not remove each other's
 bytes and are told apart by a 64-bit hash of the text; texts shorter than 50 bytes lose nothing; an empty table gives no rows; other columns play no part.
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from emberlog.llm import suffixes as S
 from emberlog.llm.common import shuffle_parts, staged, text_of
 
-#: Bytes of text in a shard, and in one whose unclear windows are sent; ranges for each shuffle partition.
-SHARD, WINDOW_SHARD, RANGES = 4_000_000, 16_000_000, 4
+#: Bytes of text in a shard, and in one whose unclear windows are sent; bytes of all texts for which there is a task that merges, and
+#: the ranges of hashes that it merges one after the other.
+SHARD, WINDOW_SHARD, TASK, RANGES = 4_000_000, 16_000_000, 32_000_000, 4
 #: Texts that the dictionary of the exchange is trained on.
 DICTIONARY_TEXTS = 2000
 LAST = (1 << 63) - 1
@@ -65,7 +66,7 @@ def _unpack(data: bytes, kind: np.dtype = ITEM) -> np.ndarray:
 def _ranges(items: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
     """Sorted items cut at the bounds of the hash ranges by binary search."""
     items = items[np.argsort(items["h"], kind="stable")]
-    bounds = (np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 64) // ranges)).astype(np.uint64)
+    bounds = (np.arange(1, ranges, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // ranges)).astype(np.uint64)
     cuts = np.concatenate([[0], np.searchsorted(items["h"], bounds), [len(items)]])
     for k in range(ranges):
         if cuts[k + 1] > cuts[k]:
@@ -127,19 +128,38 @@ SPAN_ITEM = np.dtype([("ord", "<i8"), ("tag", "<u8"), ("begin", "<i4"), ("end",
 FOUND = "bucket int, kind string, spans binary"
 
 
-def _spans(kind: str, items: np.ndarray, before: int, after: np.ndarray | int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Spans around items, packed by buckets of documents: as many rows as there are buckets, however many documents."""
-    if not len(items):
-        return
+def _spans(items: np.ndarray, before: int, after: np.ndarray | int) -> np.ndarray:
     spans = np.empty(len(items), SPAN_ITEM)
     spans["ord"], spans["tag"] = items["ord"], items["tag"]
     spans["begin"], spans["end"] = items["at"].astype(np.int64) - before, items["at"].astype(np.int64) + after
-    bucket = (S.mixed(spans["ord"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64) if len(spans) else None
-    by = np.lexsort((spans["begin"], spans["ord"], bucket))
-    spans, bucket = spans[by], bucket[by]
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    blobs = [_pack(part) for part in np.split(spans, first[1:])]
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array([kind] * len(blobs)), pa.array(blobs, pa.binary())], ["bucket", "kind", "spans"])
+    return spans
+
+
+class Found:
+    """Spans of one kind, packed by buckets of documents: a row a bucket for each ``MOST`` spans, however many documents and ranges."""
+
+    MOST = 500_000
+
+    def __init__(self, kind: str, buckets: int):
+        self.kind, self.buckets = kind, buckets
+        self.held: list[np.ndarray] = []
+
+    def add(self, spans: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(spans)
+        if sum(map(len, self.held)) >= self.MOST:
+            yield from self.sent()
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        spans = np.concatenate([np.empty(0, SPAN_ITEM), *self.held])
+        self.held.clear()
+        if not len(spans):
+            return
+        bucket = (S.mixed(spans["ord"].view(np.uint64) ^ spans["tag"]) % np.uint64(self.buckets)).astype(np.int64)
+        by = np.lexsort((spans["begin"], spans["ord"], bucket))
+        spans, bucket = spans[by], bucket[by]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        blobs = [_pack(part) for part in np.split(spans, first[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array([self.kind] * len(blobs)), pa.array(blobs, pa.binary())], ["bucket", "kind", "spans"])
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,28 +188,43 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Merge the sorted runs of a range. Anchors: settled spans and, where surroundings differ, anchors to return. Windows: settled spans."""
-    held: dict[str, list[np.ndarray]] = {"anchor": [], "window": [], "settled": []}
+    """Merge the sorted runs of each range, one range after the other: their rows are neighbours."""
+    held: dict[str, list[bytes]] = {"anchor": [], "window": []}
+    settled, unclear = Found("settled", buckets), Found("unclear", buckets)
+    current = None
     for batch in batches:
-        for kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            held[kind].append(_unpack(data))
-    for runs in held["settled"]:
-        yield from _spans("settled", runs, 0, (runs["h"] >> np.uint64(64 - SENT_BITS)).astype(np.int64) + S.SPAN - 1, buckets)
+        for at, kind, data in zip(*batch.columns, strict=True):
+            if at.as_py() != current:
+                yield from _merge_range(held, settled, unclear)
+                current = at.as_py()
+            if kind.as_py() == "settled":
+                runs = _unpack(data.as_py())
+                yield from settled.add(_spans(runs, 0, (runs["h"] >> np.uint64(64 - SENT_BITS)).astype(np.int64) + S.SPAN - 1))
+            else:
+                held[kind.as_py()].append(data.as_py())
+    yield from _merge_range(held, settled, unclear)
+    yield from settled.sent()
+    yield from unclear.sent()
+
+
+def _merge_range(held: dict[str, list[bytes]], settled: Found, unclear: Found) -> Iterator[pa.RecordBatch]:
+    """Anchors: settled spans and, where surroundings differ, anchors to return. Windows: settled spans."""
     for kind in ("anchor", "window"):
         if not held[kind]:
             continue
-        items = np.concatenate(held.pop(kind))
+        items = np.concatenate([_unpack(data) for data in held[kind]])
+        held[kind].clear()
         items = items[np.lexsort((items["ord"], items["c"], items["b"], items["a"], items["h"]))]
         first = np.flatnonzero(_new(items, "habc"))
         least = np.repeat(items["ord"][first], np.diff(np.append(first, len(items))))
         later = items["ord"] > least
-        yield from _spans("settled", items[later], S.LEFT if kind == "anchor" else 0, S.SPAN, buckets)
+        yield from settled.add(_spans(items[later], S.LEFT if kind == "anchor" else 0, S.SPAN))
         if kind == "anchor":
             # an unclear span is one of window starts: half of the windows around an anchor hold part a whole, the others part b: they can repeat only where that does
             items = items[~later]
-            yield from _spans("unclear", items[_shared(items, "ha")], S.HALF, 1, buckets)
+            yield from unclear.add(_spans(items[_shared(items, "ha")], S.HALF, 1))
             items = items[np.lexsort((items["b"], items["h"]))]
-            yield from _spans("unclear", items[_shared(items, "hb")], S.LEFT, 1 - S.HALF, buckets)
+            yield from unclear.add(_spans(items[_shared(items, "hb")], S.LEFT, 1 - S.HALF))
 
 
 def _new(items: np.ndarray, names: str) -> np.ndarray:
@@ -303,15 +338,16 @@ def _keyed(docs: DataFrame, key: str, text: str) -> tuple[Column, Column, Column
 
 def repeated_spans(docs: DataFrame, packer: Packer, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``ord, tag, spans``: what was found for each document, as pairs of begin and end."""
-    parts = shuffle_parts(docs.sparkSession)
-    ranges = RANGES * parts
     rows = docs.select(*_keyed(docs, key, text))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_parts(docs.sparkSession), -(-size // TASK))
+    ranges = RANGES * parts
 
     def merged(sent: DataFrame, name: str) -> DataFrame:
-        return staged(sent.repartition(parts, "range").mapInArrow(lambda batches: _merge(batches, parts), FOUND), name)
+        return staged(sent.repartitionById(parts, "range").sortWithinPartitions("range").mapInArrow(lambda batches: _merge(batches, parts), FOUND), name)
 
     def gathered(found: DataFrame) -> DataFrame:
-        return found.repartition(parts, "bucket").mapInArrow(_gather, "ord long, tag long, spans binary")
+        return found.repartitionById(parts, "bucket").mapInArrow(_gather, "ord long, tag long, spans binary")
 
     first = merged(rows.mapInArrow(_anchor_sender(ranges), SENT), "anchors")
     unclear = gathered(first.where(F.col("kind") == "unclear")).withColumnRenamed("spans", "marks")

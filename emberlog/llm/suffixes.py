@@ -10,6 +10,8 @@ SPAN, GRAM, GAP = 50, 12, 64
 #: anchor to ``SPAN - HALF`` after it, or all from ``HALF`` before it to its gram's end.
 LEFT = SPAN - GRAM
 HALF = LEFT // 2
+#: Bits of the table that tells windows alone in a shard from others.
+SLOTS = 24
 
 
 def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -25,20 +27,52 @@ def words_at(buffer: np.ndarray, n: int, kind: str = "<u8") -> np.ndarray:
     return np.ndarray((n,), kind, buffer, 0, (1,))
 
 
+def repeating(buffer: np.ndarray, at: np.ndarray, size: int = SPAN) -> np.ndarray:
+    """Those of the positions whose ``size`` bytes may occur at another one, by a 64-bit hash: equal bytes are never left out."""
+    n = max(0, len(buffer) - size)
+    words = words_at(buffer, n + size - 8)
+    every = np.zeros(n, np.uint64)
+    for k in [*range(0, size - 8, 8), size - 8]:
+        every *= np.uint64(0xD1342543DE82EF95)
+        every += words[k : k + n]
+    every ^= every >> np.uint64(29)
+    every *= np.uint64(0x9E3779B97F4A7C15)
+    h = every[at]
+    del every
+    ordered = np.sort(h)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    del ordered
+    if not len(twice):
+        return at[:0]
+    # a table of upper bits tells most of the others; those it lets through are looked up
+    table = np.zeros(1 << SLOTS, bool)
+    table[(twice >> np.uint64(64 - SLOTS)).astype(np.int64)] = True
+    some = np.flatnonzero(table[(h >> np.uint64(64 - SLOTS)).astype(np.int64)])
+    place = np.minimum(np.searchsorted(twice, h[some]), len(twice) - 1)
+    return at[some[twice[place] == h[some]]]
+
+
 def suffix_order(buffer: np.ndarray, at: np.ndarray, depth: int = 64) -> np.ndarray:
     """Larsson-Sadakane refinement: those of the positions that share their first ``depth`` / 2 bytes or more with another one, in the
     order of their first ``depth`` bytes.
 
     Ranks by eight bytes come from one sort; each round doubles the bytes a rank stands for by sorting pairs of ranks (its own and
     that of the suffix as many bytes on), and only within groups of more than one. Suffixes alone in their group are final: no
-    other suffix shares their prefix, so they are left out of later rounds.
+    other suffix shares their prefix, so they are left out of later rounds. Only the positions and the ``depth`` - 8 after each are
+    ranked: no rank within ``depth`` bytes of a position asks for more.
     """
     n = len(buffer)
-    keys = words_at(buffer, n - 8, ">u8").astype(np.uint64)
+    step = np.zeros(n + 1, np.int32)
+    step[at] += 1
+    np.subtract.at(step, np.minimum(at + depth - 7, n), 1)
+    near = np.flatnonzero(np.cumsum(step[: n - 8]) > 0)
+    keys = words_at(buffer, n - 8, ">u8")[near].astype(np.uint64)
     order = np.argsort(keys)
+    keys = keys[order]
+    order = near[order]
     new = np.empty(len(order), bool)
     new[:1] = True
-    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    new[1:] = keys[1:] != keys[:-1]
     rank = np.zeros(n, np.int64)
     first = np.flatnonzero(new)
     rank[order] = np.repeat(first, np.diff(np.append(first, len(order))))  # where a group begins in the sorted order
@@ -50,14 +84,13 @@ def suffix_order(buffer: np.ndarray, at: np.ndarray, depth: int = 64) -> np.ndar
     order, group = order[~alone], group[~alone]
     while reach < depth and len(order):
         pair = (group << 32) | rank[np.minimum(order + reach, n - 1)]
-        by = np.argsort(pair, kind="stable")
-        order, pair = order[by], pair[by]
+        by = np.argsort(pair)
+        order, pair, old = order[by], pair[by], group[by]
         new = np.empty(len(order), bool)
         new[:1] = True
         new[1:] = pair[1:] != pair[:-1]
         first = np.flatnonzero(new)
         head = np.repeat(first, np.diff(np.append(first, len(order))))
-        old = group[by]
         outer = np.empty(len(order), bool)
         outer[:1] = True
         outer[1:] = old[1:] != old[:-1]
@@ -111,7 +144,7 @@ def window_starts(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 def repeated_windows(buffer: np.ndarray, starts: np.ndarray, valid: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Starts of the windows that also begin in a document of the buffer with a smaller rank, by the buffer's suffix array."""
-    order = suffix_order(buffer, np.flatnonzero(valid))
+    order = suffix_order(buffer, repeating(buffer, np.flatnonzero(valid)))
     if not len(order):
         return order
     new = common_prefixes(buffer, order) < SPAN

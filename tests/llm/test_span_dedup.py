@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from emberlog.llm import span_dedup as P
 from emberlog.llm import suffixes as S
@@ -115,3 +116,19 @@ def test_rows_without_key_are_told_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in P.removals(docs).collect())
     assert got == _brute(rows)
+
+
+@pytest.mark.parametrize("letters", [2, 4, 26])
+def test_repeated_windows_of_a_shard_against_brute_force(letters):
+    rng = np.random.default_rng(letters)
+    texts = [rng.integers(97, 97 + letters, rng.integers(0, 400), dtype=np.uint8).tobytes() for _ in range(30)]
+    texts += [a[: len(a) // 2] + b[len(b) // 3 :] for a, b in zip(texts, texts[1:])] + [b"ab" * 90, b"a" * 120, b"a" * 49]
+    buffer, starts, ends = S.join_texts(texts)
+    first: dict[bytes, int] = {}
+    want = []
+    for k, (start, text) in enumerate(zip(starts, texts)):
+        for at in range(len(text) - S.SPAN + 1):
+            if first.setdefault(text[at : at + S.SPAN], k) < k:
+                want.append(start + at)
+    got = S.repeated_windows(buffer, starts, S.window_starts(starts, ends, len(buffer)), np.arange(len(texts)))
+    assert sorted(got) == want
