@@ -10,7 +10,7 @@ from emberlog.operators.records import records_from_files, records_from_lines, r
 from emberlog.plans.analyze import analyze
 from emberlog.session import configure
 from emberlog.sources.rules import load_rules, make_rules, rules_table
-from emberlog.sources.text import file_lines, table_lines
+from emberlog.sources.text import file_lines, spread, table_lines
 from tests.samples import ANALYSIS
 
 
@@ -255,3 +255,22 @@ def test_rule_index_equals_case(spark):
     groups = spark.createDataFrame([("s", t, k) for k, t in enumerate(texts)] * 2, "scope string, pattern string, priority int")
     keyed = lambda df: sorted(map(str, df.select("scope", "pattern", "priority", "rule_priority", "classification").collect()))
     assert keyed(C.classify_by_table(groups, rules_table(spark, rules))) == keyed(C.classify(groups, rules))
+
+
+def test_rows_of_one_row_group_are_dealt_to_all_cores(spark, tmp_path, monkeypatch):
+    """Many splits, one of which holds the only row group; and more rows in a split than a task may take."""
+    path = str(tmp_path / "t")
+    spark.range(40_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        table = spark.read.parquet(path)
+        assert table.rdd.getNumPartitions() >= 8
+        sizes = [r["count"] for r in spread(table).groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= 8 and max(sizes) < 10_000 and sum(sizes) == 40_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    monkeypatch.setattr("emberlog.sources.text.ROWS_A_TASK", 500)
+    sizes = [r["count"] for r in spread(spark.range(0, 20_000, 1, 8)).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1_000 and sum(sizes) == 20_000
+    assert spread(spark.range(0, 100, 1, 8)).rdd.getNumPartitions() == 8
+    assert spread(spark.range(0)).count() == 0
