@@ -93,7 +93,9 @@ def _long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON line of a list for each thousand events."""
     e = F.expr
     item = F.concat(F.lit('{"ip":"'), e(Q.IP), F.lit('","note":["'), e(Q.EMAIL), F.lit('",'), e(Q.EVENT), F.lit("]}"))
-    lists = R.events(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 1000).alias("pos")).agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("item")))).alias("items"))
+    events = R.events(spark, sf_dir).withColumn("pos", F.floor(F.col("event_id") / 1000))
+    # A line takes as long as its events: as many tasks as hold the events, whatever the bytes.
+    lists = events.repartition(events.rdd.getNumPartitions(), "pos").groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("item")))).alias("items"))
     line = F.concat(F.lit('{"email":['), F.array_join(F.transform("items", lambda x: x["item"]), ", "), F.lit("]}"))
     return lists.select(_all().alias("scope"), "pos", line.alias("line"))
 
