@@ -199,3 +199,20 @@ def test_many_values_on_one_line_take_linear_time(spark):
     spent(10)
     few, many = spent(4000), spent(16_000)
     assert many < 5 * few + 2
+
+
+def test_rules_share_projections(spark, capsys):
+    """A row is not written anew, with all its segments, for every rule."""
+    sanitize(lines_of(spark, "x"), "mask", False).lines.explain()
+    assert capsys.readouterr().out.count("Project [") < 30
+
+
+def test_long_lines_are_dealt_out_by_events(spark, tmp_path, monkeypatch):
+    from checks.roundtrip import _long_lines
+
+    monkeypatch.setattr("emberlog.sources.text.ROWS_A_TASK", 1_000)
+    rows = spark.range(20_000).select(F.col("id").alias("event_id"), (F.col("id") % 50).alias("user_id"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    lines = _long_lines(spark, str(tmp_path))
+    assert lines.rdd.getNumPartitions() == 20
+    assert lines.count() == 20
