@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from emberlog.operators import groups as G
 from emberlog.operators.formats import parse_records
 from emberlog.operators.records import records_from_files, records_from_lines, records_from_text
 from emberlog.plans.analyze import analyze
-from emberlog.session import configure
+from emberlog.session import JIT_METHOD_BYTES, configure
 from emberlog.sources.rules import load_rules, make_rules, rules_table
 from emberlog.sources.text import file_lines, spread, table_lines
 from tests.samples import ANALYSIS
@@ -138,6 +140,33 @@ def test_json_details(spark):
     assert rows[9]["source_type"] == "json"
 
 
+def test_json_keys_written_as_escapes(spark):
+    rows = parse(
+        spark,
+        '{"\\u006cevel":"error","\\u006dsg":"x","app":{"na\\u006de":"a"}}',
+        '{"http":{"status\\u005fcode":503},"msg":"x","stack_trace":["a","b"]}',
+        '{"\\u006cog":"plain words\\n","ti\\u006de":"t1"}',
+        '{"other":"level","x":{"log":"l"}}',
+        '{"pad":"' + "p" * 5000 + '","level":"warn","msg":"long"}',
+        '2026-01-01T00:00:00Z stdout F {"log":"{\\"log\\":\\"deep words\\",\\"tim\\\\u0065\\":\\"t\\"}","stream":"stdout"}',
+    )
+    assert [(r["source_type"], r["level"], r["message"]) for r in rows] == [
+        ("json", "ERROR", "x"), ("json", "ERROR", 'x\n["a", "b"]'), ("docker_json", "INFO", "plain words"),
+        ("json", "INFO", '{"other":"level","x":{"log":"l"}}'), ("json", "WARNING", "long"), ("cri", "INFO", "deep words"),
+    ]
+    assert (rows[0]["service"], rows[2]["timestamp"]) == ("a", "t1")
+
+
+def test_json_keys_are_searched_for_before_they_are_looked_up(spark):
+    configure(spark)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == str(JIT_METHOD_BYTES)
+    records = spark.createDataFrame([(1, "{}")], "pos long, raw string")
+    plan = parse_records(records)._jdf.queryExecution().optimizedPlan().toString()
+    for key in ("stacktrace", "datetime", "status_code", "job"):
+        found = re.findall(rf'(Contains\(__line#\d+, "{key}"\)\) THEN )?try_variant_get\(__json#\d+, \$\["{key}"\]', plan)
+        assert found and all(found)
+
+
 def test_nested_containers_and_forced_types(spark):
     docker_in_cri = '2026-01-01T00:00:00Z stderr F {"log":"level=info app=deep msg=\\"ok\\"\\n","stream":"stdout","time":"t"}'
     rows = parse(spark, docker_in_cri, "2026-01-01T00:00:00Z stdout P part one\n  tail")
